@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrain.llm import shared_spans
+from reelgrain.llm import components, shared_spans, splitting
 from reelgrain.llm.oracle import ORACLE
 from reelgrain.storage import table
 
@@ -26,6 +26,18 @@ def p1_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, d, "case_c_video2"), _limit(spark, d, "shared_span_min")).drop("spans")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.match_groups(table(spark, d, "comparison_results"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(table(spark, d, "case_c_video2"), _limit(spark, d, "piece_max"), _limit(spark, d, "piece_overlap"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "case_c_video2"), _limit(spark, d, "piece_max"), _limit(spark, d, "piece_overlap"))
+
+
 def queries() -> dict[str, Query]:
     own = {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
     return dict(sorted(own.items(), key=lambda x: (int(x[0][1 : x[0].index("_")]), not x[0].endswith("_found"))))

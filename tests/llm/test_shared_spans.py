@@ -14,13 +14,13 @@ def brute(texts: dict[str, str], n: int) -> dict[str, set[int]]:
     return {v: {j for i in range(len(t) - n + 1) if len(at[t[i : i + n]]) > 1 for j in range(i, i + n)} for v, t in texts.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_brute_force(spark, seed):
     rnd = random.Random(seed)
     words = ["가나", "다", "abc", "de", "f😀g", "바사아"]
     common = [" ".join(rnd.choice(words) for _ in range(rnd.randint(10, 40))) for _ in range(4)] + ["a" * 60]
     rows, texts = [], {}
-    for v in range(14):
+    for v in range(9):
         parts = [rnd.choice(common) if rnd.random() < 0.5 else " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(1, 7))]
         text = " ".join(parts)[rnd.randint(0, 9) :].strip()
         segs, i = [], 0
