@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelgrain.llm import components, shared_spans, splitting
+from reelgrain.llm import components, shared_spans, splitting, turns, visual_form
 from reelgrain.llm.oracle import ORACLE
 from reelgrain.storage import table
 
@@ -30,6 +31,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.match_groups(table(spark, d, "comparison_results"))
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "sample_titles").select(F.lit("title").alias("field"), F.col("video_id").alias("key"), F.col("title").alias("content"))
+    lines = table(spark, d, "case_c_video2").select(F.lit("text").alias("field"), F.col("segment_id").alias("key"), F.col("text").alias("content"))
+    return titles.unionByName(lines)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return visual_form.alike_pairs(_contents(spark, d))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return visual_form.alike_classes(_contents(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "case_c_video2"), _limit(spark, d, "piece_max"), _limit(spark, d, "piece_overlap"))
 
@@ -38,6 +53,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "case_c_video2"), _limit(spark, d, "piece_max"), _limit(spark, d, "piece_overlap"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "case_c_video2")).select("video_id", "turn_no", "speaker", "segment_id")
+
+
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "case_c_video2"))
+
+
 def queries() -> dict[str, Query]:
     own = {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
     return dict(sorted(own.items(), key=lambda x: (int(x[0][1 : x[0].index("_")]), not x[0].endswith("_found"))))
