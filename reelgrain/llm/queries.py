@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrain.llm import components, shared_spans, splitting, turns, visual_form
+from reelgrain.llm import components, langid, mixing, packing, shared_spans, splitting, turns, visual_form
 from reelgrain.llm.oracle import ORACLE
 from reelgrain.storage import table
 
@@ -61,6 +61,31 @@ def p6_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.turns(table(spark, d, "case_c_video2"))
 
 
+def p7_contents(spark: SparkSession, d: str) -> DataFrame:
+    return packing.contents(packing.containers(table(spark, d, "documents"), _limit(spark, d, "container_capacity")))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.containers(table(spark, d, "documents"), _limit(spark, d, "container_capacity"))
+    return packed.select("container_id", F.size("items").alias("n_items"), "used", "unused")
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.line_languages(table(spark, d, "documents"), only_doubtful=True).select("doc_id", "line_no", "lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.line_languages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
     return dict(sorted(own.items(), key=lambda x: (int(x[0][1 : x[0].index("_")]), not x[0].endswith("_found"))))
