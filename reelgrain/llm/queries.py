@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrain.llm import components, langid, mixing, packing, shared_spans, splitting, turns, visual_form
+from reelgrain.llm import components, langid, mixing, names, packing, shared_spans, splitting, turns, visual_form
 from reelgrain.llm.oracle import ORACLE
 from reelgrain.storage import table
 
@@ -53,6 +53,10 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "case_c_video2"), _limit(spark, d, "piece_max"), _limit(spark, d, "piece_overlap"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(table(spark, d, "comparison_results"), table(spark, d, "professor_detail"), table(spark, d, "sample_titles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.turns(table(spark, d, "case_c_video2")).select("video_id", "turn_no", "speaker", "segment_id")
 
