@@ -24,7 +24,7 @@ from reelgrain.llm.visual_form import form, visual_form
 from reelgrain.storage import materialize
 
 #: Least similarity of q-gram sets that shall meet, and with what probability; similarity from which spellings are one name.
-LEAST_JACCARD, RECALL, ALIKE, ALIKE_ANYWHERE, LEAD = 0.2, 0.999, 0.78, 0.95, 0.04
+LEAST_JACCARD, RECALL, ALIKE, ALIKE_IN_GROUP, ALIKE_ANYWHERE, LEAD = 0.2, 0.999, 0.8, 0.85, 0.95, 0.04
 #: A register of at most so many rows (times its courses and bands some 20 bytes) is broadcast; beyond it, shuffled.
 BROADCAST_ROWS = 5_000
 
@@ -40,7 +40,7 @@ SURNAMES = {
     "강": "kang gang", "고": "ko go", "구": "koo gu ku", "권": "kwon gwon", "김": "kim gim", "나": "na ra", "남": "nam", "노": "noh roh no", "류": "ryu yoo yu ryoo lyu", "문": "moon mun", "민": "min", "박": "park pak bak", "배": "bae pae", "백": "baek paik", "서": "seo suh so", "성": "sung seong", "손": "son sohn", "송": "song soung", "신": "shin sin", "심": "shim sim", "안": "ahn an", "양": "yang", "오": "oh o", "우": "woo u", "유": "yoo yu", "윤": "yoon yun", "이": "lee yi i rhee li", "임": "lim im rim", "장": "jang chang", "전": "jeon chun jun", "정": "jung jeong chung", "조": "cho jo", "주": "joo ju", "진": "jin", "차": "cha", "최": "choi choe", "하": "ha", "한": "han hahn", "허": "heo hur huh", "홍": "hong houng", "황": "hwang whang",
 }
 NICKNAMES = {
-    "patricia": "pat patty trish tricia", "theodore": "ted teddy theo", "michael": "mike mick micky", "elizabeth": "liz beth betty eliza lizzie", "margaret": "maggie meg peggy marge greta", "nathaniel": "nate nat nathan", "frederick": "fred freddie freddy rick", "william": "will bill billy", "robert": "rob bob bobby", "richard": "rich dick rick", "katherine": "kate kathy katie cathy", "james": "jim jimmy jamie", "john": "jack johnny", "thomas": "tom tommy", "edward": "ed eddie ted", "charles": "charlie chuck", "joseph": "joe joey", "susan": "sue susie", "alexander": "alex sandy", "benjamin": "ben benny", "samuel": "sam sammy", "daniel": "dan danny", "matthew": "matt", "christopher": "chris kit", "anthony": "tony", "andrew": "andy drew", "jennifer": "jen jenny", "rebecca": "becky", "deborah": "deb debbie", "victoria": "vicky tori", "gregory": "greg", "stephen": "steve", "timothy": "tim", "nicholas": "nick", "jonathan": "jon", "philip": "phil", "dorothy": "dot dolly", "eleanor": "ellie nell", "abigail": "abby", "gabriel": "gabe", "leonard": "leo lenny", "lawrence": "larry", "raymond": "ray", "ronald": "ron", "walter": "walt", "zachary": "zach",
+    "patricia": "pat patty trish tricia", "theodore": "ted teddy theo", "michael": "mike mick micky", "elizabeth": "liz beth betty eliza lizzie", "margaret": "maggie meg peggy marge greta", "nathaniel": "nate nat nathan", "frederick": "fred freddie freddy fritz rick", "william": "will bill billy", "robert": "rob bob bobby", "richard": "rich dick rick", "katherine": "kate kathy katie cathy", "james": "jim jimmy jamie", "john": "jack johnny", "thomas": "tom tommy", "edward": "ed eddie ted", "charles": "charlie chuck", "joseph": "joe joey", "susan": "sue susie", "alexander": "alex sandy", "benjamin": "ben benny", "samuel": "sam sammy", "daniel": "dan danny", "matthew": "matt", "christopher": "chris kit", "anthony": "tony", "andrew": "andy drew", "jennifer": "jen jenny", "rebecca": "becky", "deborah": "deb debbie", "victoria": "vicky tori", "gregory": "greg", "stephen": "steve", "timothy": "tim", "nicholas": "nick", "jonathan": "jon", "philip": "phil", "dorothy": "dot dolly", "eleanor": "ellie nell", "abigail": "abby", "gabriel": "gabe", "leonard": "leo lenny", "lawrence": "larry", "raymond": "ray", "ronald": "ron", "walter": "walt", "zachary": "zach",
 }
 TITLES = r"(?:교수님?|선생님?|강사님?|쌤|박사님?|(?<![a-z])(?:professor|prof|dr|mr|mrs|ms|instructor|lecturer)(?![a-z])\.?)"
 
@@ -72,6 +72,16 @@ def _syllable_sound(ch: str) -> str:
     return _sound(HEADS[h] + VOWELS[v] + TAILS[t])
 
 
+@lru_cache(maxsize=100_000)
+def _initials(ch: str) -> str:
+    """Latin letters with which the romanised syllable may begin."""
+    if ch == "*":
+        return "abcdefghijklmnopqrstuvwxyz"
+    h, v, _ = _split(ch)
+    first = (HEADS[h] + VOWELS[v])[0]
+    return first + {"g": "k", "k": "g", "d": "t", "t": "d", "b": "p", "p": "b", "r": "l", "j": "c", "c": "j"}.get(first, "")
+
+
 @lru_cache(maxsize=200_000)
 def _syllables_alike(a: str, b: str) -> float:
     if a == b:
@@ -122,8 +132,8 @@ class Name:
             self.hangul = "".join(re.findall(r"[가-힣*]", x))
         else:
             tokens = re.findall(r"[^\W\d_]+", re.sub(r"(?<=\w)[-'’](?=\w)", "", unicodedata.normalize("NFD", bare)).encode("ascii", "ignore").decode())
-            typed = typed_hangul(tokens[0]) if len(tokens) == 1 else None
-            if typed and 2 <= len(typed) <= 4:
+            typed = typed_hangul(tokens[0]) if len(tokens) == 1 and tokens[0][0].islower() else None
+            if typed and 2 <= len(typed) <= 3:
                 self.hangul = typed
             else:
                 self.latin = [t.lower() for t in tokens]
@@ -146,6 +156,8 @@ class Name:
         for w in words:
             out.update(w[i : i + 2] for i in range(len(w) - 1))
         out.update("^" + w[0] for w in starts if w)
+        if self.hangul:
+            out.update("^" + x for c in self.hangul if c != "*" for x in _initials(c))
         return out
 
 
@@ -180,23 +192,31 @@ def _latin_tokens(x: str, y: str) -> float:
     return max(_edits(x, y), _edits(_sound(x), _sound(y)) - 0.02)
 
 
+#: Orders in which three syllables of a name come: as written, given name first, syllables of the given name swapped.
+_ORDERS = (((0, 1, 2), 0.0), ((1, 2, 0), 0.03), ((2, 0, 1), 0.03), ((0, 2, 1), 0.04))
+
+
 def _hangul_hangul(a: str, b: str) -> float:
+    """Monge-Elkan over syllables that pair off one to one, in one of the usual orders."""
     if len(a) > len(b):
         a, b = b, a
     if len(a) < 2:
         return 0.0
-    one = _monge_elkan(list(a), list(b), _syllables_alike)
     if len(a) == 2 and len(b) == 3:  # a given name alone
-        return 0.92 * max((_syllables_alike(a[0], b[1]) + _syllables_alike(a[1], b[2])) / 2, 0.9 * one)
-    both = (one + _monge_elkan(list(b), list(a), _syllables_alike)) / 2
-    order = sum(map(_syllables_alike, a, b)) / len(b)
-    return both - 0.04 * (1 - order)
+        return 0.92 * (_syllables_alike(a[0], b[1]) + _syllables_alike(a[1], b[2])) / 2
+    if len(a) == len(b):
+        orders = _ORDERS if len(a) == 3 and "*" not in a + b else (((*range(len(a)),), 0.0),)
+        return max(sum(_syllables_alike(x, b[i]) for x, i in zip(a, order)) / len(a) - cost for order, cost in orders)
+    if len(b) == len(a) + 1:  # a syllable too many
+        return max((sum(map(_syllables_alike, a, b[:i] + b[i + 1 :])) / len(a) for i in range(len(b))), default=0.0) - 0.06
+    return 0.0
 
 
 def _latin_hangul(tokens: list[str], h: str) -> float:
     if len(h) < 2 or not tokens:
         return 0.0
     given = [_syllable_sound(c) if c != "*" else "" for c in h[1:]]
+    initials = [_initials(c) for c in h[1:]]
     best = 0.0
     for i, t in enumerate(tokens):
         rest = tokens[:i] + tokens[i + 1 :]
@@ -204,9 +224,10 @@ def _latin_hangul(tokens: list[str], h: str) -> float:
         if sur < 0.6 or not rest:
             continue
         if all(len(x) == 1 for x in rest):
-            g = 0.86 if [_sound(x) for x in rest] == [s[:1] for s in given] else 0.0
+            g = 0.86 if len(rest) == len(initials) and all(x in i for x, i in zip(rest, initials)) else 0.0
         else:
-            g = max(_edits(_sound("".join(rest)), "".join(given)), _edits(_sound("".join(rest[::-1])), "".join(given)) - 0.03)
+            g = _edits(_sound("".join(rest)), "".join(given))
+            g = max(g, 0.97 if _sound("".join(rest[::-1])) == "".join(given) else 0.0)
         best = max(best, (sur + g) / 2)
     if len(tokens) <= 2:  # a given name alone
         best = max(best, 0.9 * _edits(_sound("".join(tokens)), "".join(given)))
@@ -331,22 +352,55 @@ def persons(known: DataFrame) -> DataFrame:
         free = materialize(free.join(new.select("a"), "a", "left_anti"))
     if stars is None:
         return nodes.select(F.col("a").alias("detail_id"), F.col("a").alias("person"))
-    # a centre that is linked with another centre's row of its own spelling or course is the same person's: joined by courses
     least = stars.groupBy("centre").agg(F.min("a").alias("person"))
     return stars.join(least, "centre").select(F.col("a").alias("detail_id"), "person")
 
 
+def course_groups(known: DataFrame) -> dict[str, str]:
+    """Courses that people teach together, as name of the least one; as many entries as the register has courses."""
+    group: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    taught = known.groupBy("detail_id").agg(F.sort_array(F.collect_set("course")).alias("courses")).select("courses").distinct()
+    for (courses,) in taught.collect():
+        for c in courses[1:]:
+            a, b = sorted((find(courses[0]), find(c)))
+            group[b] = a
+        find(courses[0])
+    return {x: find(x) for x in group}
+
+
+def _best(pairs: DataFrame, people: DataFrame, *keep: str) -> DataFrame:
+    """The person most alike, if no other comes near."""
+    by = pairs.join(people, "detail_id").groupBy("name", *keep, "person").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("name", *keep).orderBy(F.desc("score"), "person")
+    ranked = by.withColumn("next", F.lead("score").over(w)).withColumn("place", F.row_number().over(w))
+    return ranked.where((F.col("place") == 1) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= LEAD)).select("name", *keep, "person")
+
+
 def linked(items: DataFrame, known: DataFrame, people: DataFrame) -> DataFrame:
-    """name, course, person: the person whose spellings for that course are most like the name, if clearly one is.
+    """name, course, person: the person whose spellings are most like the name, if clearly one is.
 
-    Items without a course are compared with all spellings and need to be nearly the same.
+    First among the spellings known for the course; names that are like none of these (a guest in another's course) among
+    those of courses taught by the same people; items without a course among all, where they need to be nearly the same.
     """
-    pairs = _scores(_meeting(items.select("name", "course").distinct(), known, []))
-    pairs = pairs.where((F.col("course").isNotNull()) | (F.col("score") >= ALIKE_ANYWHERE))
-    by = pairs.join(people, "detail_id").groupBy("name", "course", "person").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("name", "course").orderBy(F.desc("score"), "person")
-    ranked = by.withColumn("next", F.lead("score").over(w)).withColumn("place", F.row_number().over(w))
-    return ranked.where((F.col("place") == 1) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= LEAD)).select("name", "course", "person")
+    items = items.select("name", "course").distinct()
+    pairs = _scores(_meeting(items, known, []))
+    first = materialize(_best(pairs.where(F.col("course").isNotNull() | (F.col("score") >= ALIKE_ANYWHERE)), people, "course"))
+    groups = course_groups(known)
+    if not groups:
+        return first
+    table = items.sparkSession.createDataFrame(sorted(groups.items()), "course string, group string")
+    tried = items.where("course is not null").join(pairs.select("name", "course").distinct(), ["name", "course"], "left_anti")
+    wide = known.join(F.broadcast(table), "course").select("detail_id", "name", F.col("group").alias("course")).distinct()
+    left = tried.join(F.broadcast(table), "course")
+    again = _scores(_meeting(left.select("name", F.col("group").alias("course")).distinct(), wide, [])).where(F.col("score") >= ALIKE_IN_GROUP)
+    second = _best(again, people, "course").withColumnRenamed("course", "group")
+    return first.unionByName(left.join(second, ["name", "group"]).select("name", "course", "person"))
 
 
 # Parts of titles that are no names.
