@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Added before rounding to two places, so that halves go up whatever the last bits of a sum are.
+TIE = 1e-9
+
+
 @dataclass(frozen=True)
 class Policy:
     """Thresholds and weights; the weights of the eight indicators sum to 1."""
@@ -41,7 +45,7 @@ def cosine(a: Column, b: Column) -> Column:
 def suspicion5(i1: Column, i2: Column, i3: Column, i4: Column, i5: Column) -> Column:
     """Score of 0 to 100 from hash equality, cosine, change rate, new terms and difference of durations (30/25/20/15/10)."""
     parts = 30.0 * i1.cast("int") + 25.0 * clamp(i2) + 20.0 * clamp(1.0 - i3) + 15.0 * (1.0 / (1.0 + i4)) + 10.0 * F.greatest(F.lit(0.0), 1.0 - F.abs(i5) / 60.0)
-    return F.round(clamp(parts, 0.0, 100.0), 2)
+    return F.round(clamp(parts, 0.0, 100.0) + TIE, 2)
 
 
 def composite8(policy: Policy, i1: Column, i2: Column, i3: Column, i4: Column, i5: Column, i6: Column | None = None, i7: Column | None = None, i8: Column | None = None) -> Column:
@@ -54,7 +58,7 @@ def composite8(policy: Policy, i1: Column, i2: Column, i3: Column, i4: Column, i
     else:
         norms |= {"i6": F.least(F.lit(1.0), i6 / 1200.0), "i7": F.greatest(F.lit(0.0), 1.0 - i7 / 300.0), "i8": i8}
     score = sum((norms[k] * (w[k] / total) for k in norms), F.lit(0.0))
-    return F.round(clamp(100.0 * score, 0.0, 100.0), 2)
+    return F.round(clamp(100.0 * score, 0.0, 100.0) + TIE, 2)
 
 
 def grade(score: Column) -> Column:

@@ -16,7 +16,7 @@ PHRASE_MARKS = "。、，．・「」『』'‥…—–·《》〈〉【】「
 TRANSCRIPT_MARKS = ".,?!~\"'`。，！？～…‥、"
 # Meta marks in transcripts, and Korean fillers.
 META = r"(?s)\[.*?\]|\(.*?\)|<.*?>|\*.*?\*|♪.*?♪"
-FILLERS = "음|어|그|저|뭐|이제"
+FILLERS = r"(?U)\b음+[~ㅡ]*\b|\b어+\b|\b에+\b|\b아+\b|\b그러니까\b|\b그래서\b"
 
 
 def _class(chars: str) -> str:
@@ -57,6 +57,10 @@ def transcript_form(c: Column) -> Column:
     return ascii_lower(squeezed(F.regexp_replace(F.regexp_replace(nfc, META, ""), _class(TRANSCRIPT_MARKS), "")))
 
 
+def without_fillers(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, FILLERS, ""), " {2,}", " "))
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
 
@@ -85,8 +89,8 @@ def srt_seconds(c: Column) -> Column:
 
 def iso_seconds(c: Column) -> Column:
     """Seconds of PT#H#M#S; 0 where the text is none."""
-    part = lambda unit: F.coalesce(F.regexp_extract(c, rf"^PT(?:\d+H)?(?:\d+M)?(?:\d+S)?$", 0).substr(1, 200).alias("x"), F.lit(""))  # noqa: E731, F541
-    take = lambda unit: F.coalesce(F.regexp_extract(part(unit), rf"(\d+){unit}", 1).try_cast("long"), F.lit(0))
+    whole = F.coalesce(F.regexp_extract(c, r"^PT(?:\d+H)?(?:\d+M)?(?:\d+S)?$", 0), F.lit(""))
+    take = lambda unit: F.coalesce(F.regexp_extract(whole, rf"(\d+){unit}", 1).try_cast("long"), F.lit(0))
     return take("H") * 3600 + take("M") * 60 + take("S")
 
 
@@ -131,7 +135,7 @@ def professor_names(c: Column) -> Column:
 
 
 # Keywords of supplementary videos.
-SUPPLEMENTARY = ("OT", "특강", "핵심영상", "보완영상", "질문응답", "보충")
+SUPPLEMENTARY = ("핵심영상", "보완영상", "질문응답", "보충", "특강", "OT")
 
 
 def category(title: Column) -> Column:
