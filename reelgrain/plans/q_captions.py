@@ -81,14 +81,8 @@ def full_text(spark, d):
     return rows.select("video_id", F.sha2("t", 256).alias("hash"), F.length("t").cast("long").alias("chars"))
 
 
-@add("transcript_normalize", f"WITH {_C} SELECT segment_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),'(?s)\\[.*?\\]|\\(.*?\\)|<.*?>|\\*.*?\\*|♪.*?♪','','g'),'[.,?!~\"''`。，！？～…‥、]','','g'),'[ \\t\\n\\r\\f]+',' ','g'))) AS t FROM c WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7F가-힣…♪]*$')")
+@add("transcript_normalize", f"WITH {_C} SELECT segment_id, translate(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),'(?s)\\[.*?\\]|\\(.*?\\)|<.*?>|\\*.*?\\*|♪.*?♪','','g'),'[.,?!~\"''`。，！？～…‥、]','','g'),'[ \\t\\n\\r\\f]+',' ','g')),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS t FROM c WHERE text IS NOT NULL")
 def transcript_normalize(spark, d):
-    rows = segments(spark, d).where("text is not null").where(F.col("text").rlike(r"^[\x{0}-\x{7F}가-힣…♪]*$"))
-    return rows.select("segment_id", T.transcript_form(F.col("text")).alias("t"))
-
-
-@add("transcript_normalize_all")
-def transcript_normalize_all(spark, d):
     return segments(spark, d).where("text is not null").select("segment_id", T.transcript_form(F.col("text")).alias("t"))
 
 
