@@ -80,14 +80,16 @@ def _runs(run: int, size: int):
     """For mapInPandas: a row for every run that begins in one of the block's candidate windows."""
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                codes = code_points(row.text)
+        for whole in frames:
+            for frame in _batches([whole]):
+                codes, begins, _ = _joined(frame["text"].tolist())
                 one, two = Hashes(codes, 0), Hashes(codes, 1)
-                s0, n, lo, hi = (np.array([w[k] for w in row.windows], np.int64) for k in ("s0", "n", "lo", "hi"))
+                counts = frame["windows"].str.len().to_numpy(np.int64)
+                s0, n, lo, hi = (np.array([w[k] for ws in frame["windows"] for w in ws], np.int64) for k in ("s0", "n", "lo", "hi"))
+                row = np.repeat(np.repeat(np.arange(len(frame)), counts), n)
                 x = np.repeat(s0 - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at = x - row.block * size
-                yield pd.DataFrame({"w1": _signed(one.of(at, at + run)), "w2": _signed(two.of(at, at + run)), "lo": np.repeat(lo, n), "hi": np.repeat(hi, n), "video_id": row.video_id, "x": x})
+                at = x + (begins - frame["block"].to_numpy(np.int64) * size)[row]
+                yield pd.DataFrame({"w1": _signed(one.of(at, at + run)), "w2": _signed(two.of(at, at + run)), "lo": np.repeat(lo, n), "hi": np.repeat(hi, n), "video_id": frame["video_id"].to_numpy()[row], "x": x})
 
     return runs
 
