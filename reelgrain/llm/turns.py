@@ -63,9 +63,14 @@ def clean_words(chunk: Column) -> Column:
     return F.when(chunk.rlike(r"[\p{L}\p{N}]"), chunk)
 
 
+#: What every label has: one of its words or a number, and the mark that ends a label. Sought before the full patterns.
+_HINT = r"(?i)(?:교수님?|강사님?|선생님|조교님?|튜터님?|prof|prof\.|professor|instructor|lecturer|assistant|tutor|ta|\d) ?(?:[:)>\]]| -)"
+
+
 def stretches(captions: DataFrame) -> DataFrame:
     """The stretches with speech of all records that carry a label: video_id, off, part, segment_id, start, end, speaker, words."""
     rows = placed_segments(captions, "end").withColumn("text", form("text"))
+    rows = rows.withColumn("hints", F.count_if(F.col("text").rlike(_HINT)).over(Window.partitionBy("video_id"))).where("hints > 0")
     cut = F.split(marked(F.col("text")), _MARK)
     rows = rows.select("video_id", "segment_id", "start", "end", "off", F.posexplode(cut).alias("part", "chunk"))
     label = F.when(F.col("part") > 0, F.substring_index("chunk", _END, 1))
