@@ -389,7 +389,7 @@ def linked(items: DataFrame, known: DataFrame, people: DataFrame) -> DataFrame:
     those of courses taught by the same people; items without a course among all, where they need to be nearly the same.
     """
     items = items.select("name", "course").distinct()
-    pairs = _scores(_meeting(items, known, []))
+    pairs = materialize(_scores(_meeting(items, known, [])))
     first = materialize(_best(pairs.where(F.col("course").isNotNull() | (F.col("score") >= ALIKE_ANYWHERE)), people, "course"))
     groups = course_groups(known)
     if not groups:
