@@ -20,14 +20,16 @@ class Policy:
     evolution_band: tuple[float, float] = (0.60, 0.75)
     cosine_cull: float = 0.55
     whole_ratio: float = 0.50
-    weights: dict[str, float] = field(default_factory=lambda: {"i1": 0.15, "i2": 0.20, "i3": 0.15, "i4": 0.05, "i5": 0.05, "i6": 0.20, "i7": 0.10, "i8": 0.10})
+    weights: dict[str, float] = field(default_factory=lambda: {"i1": 0.20, "i2": 0.20, "i3": 0.10, "i4": 0.05, "i5": 0.05, "i6": 0.20, "i7": 0.10, "i8": 0.10})
 
     def __post_init__(self) -> None:
         if abs(sum(self.weights.values()) - 1) > 0.01:
             raise ValueError("the weights must sum to 1")
         low, high = self.evolution_band
-        if not 0 <= low <= high <= 1:
-            raise ValueError("the evolution band must lie in [0, 1]")
+        if not 0 <= low < high <= 1:
+            raise ValueError("the evolution band must be a range within [0, 1]")
+        if self.layer_a_min_seconds <= 0 or not 0 <= self.cosine_cull <= 1 or not 0 < self.whole_ratio < 1:
+            raise ValueError("a threshold is out of its range")
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

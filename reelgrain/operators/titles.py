@@ -47,7 +47,7 @@ def parse(titles: DataFrame) -> DataFrame:
 
     pair = field("year_pair")
     pair_year = F.when(pair.rlike(r"^\d{4}"), F.substring(pair, 1, 4).try_cast("int")).otherwise(2000 + F.substring(pair, 1, 2).try_cast("int"))
-    names = F.element_at(F.array(*[F.lit(p[0]) for p in PATTERNS]), F.col("which") + 1)
+    names = F.when(F.col("which").isNotNull(), F.get(F.array(*[F.lit(p[0]) for p in PATTERNS]), F.coalesce("which", F.lit(0))))
     return rows.select(
         "video_id", names.alias("matched_pattern"), F.concat_ws("|", T.professor_names(field("professor"))).alias("professor"), field("course").alias("course"),
         F.coalesce(field("year").try_cast("int"), pair_year).alias("year"), F.coalesce(field("semester").try_cast("int"), F.regexp_extract(pair, r"\d+-([12])", 1).try_cast("int")).alias("semester"),
