@@ -311,10 +311,10 @@ def span_colour(spark, d):
     return results(spark, d).select("id", F.when(F.col("i1_hash_match"), "gray").when(F.col("i4_new_term_count") == 0, "lightyellow").otherwise("steelblue").alias("colour"))
 
 
-@add("report_assembly", """SELECT course, count(*) AS pairs, count(DISTINCT source_video_id) AS sources, round(avg(suspicion_score),4) AS mean_score, max(i2_cosine_similarity) AS max_cosine, count(*) FILTER (WHERE coalesce(i2_cosine_similarity >= 0.8,false) OR coalesce(suspicion_score>=60,false)) AS appendix FROM comparison_results GROUP BY 1""")
+@add("report_assembly", """SELECT course, count(*) AS pairs, count(DISTINCT source_video_id) AS sources, round(avg(suspicion_score)+1e-9,4) AS mean_score, max(i2_cosine_similarity) AS max_cosine, count(*) FILTER (WHERE coalesce(i2_cosine_similarity >= 0.8,false) OR coalesce(suspicion_score>=60,false)) AS appendix FROM comparison_results GROUP BY 1""")
 def report_assembly(spark, d):
     hit = (F.col("i2_cosine_similarity") >= 0.8) | (F.col("suspicion_score") >= 60)
-    return results(spark, d).groupBy("course").agg(F.count("*").alias("pairs"), F.countDistinct("source_video_id").alias("sources"), F.round(F.avg("suspicion_score"), 4).alias("mean_score"), F.max("i2_cosine_similarity").alias("max_cosine"), F.count_if(hit).alias("appendix"))
+    return results(spark, d).groupBy("course").agg(F.count("*").alias("pairs"), F.countDistinct("source_video_id").alias("sources"), F.round(F.avg("suspicion_score") + S.TIE, 4).alias("mean_score"), F.max("i2_cosine_similarity").alias("max_cosine"), F.count_if(hit).alias("appendix"))
 
 
 @add("pair_view_model", "SELECT id, coalesce(nullif(i5_duration_diff_seconds,0),600.0) AS duration, coalesce(lower(trim(grade)),'whole-same-week') AS pattern FROM comparison_results")
