@@ -272,3 +272,17 @@ def srt_segments(spark, d):
     block = r"(?s)^\d+\n(\d+:\d{2}:\d{2}[,.]\d{3}) --> (\d+:\d{2}:\d{2}[,.]\d{3})\n(.*?)\n*$"
     part = lambda i: F.regexp_extract("srt", block, i)
     return srt.select("segment_id", F.round(T.srt_seconds(part(1)), 3).alias("start"), F.round(T.srt_seconds(part(2)), 3).alias("end"), part(3).alias("text"))
+
+
+@add("gini_rank", f"WITH {_SPAN} SELECT video_id, segment_id, (2*r-n-1)::BIGINT AS weight FROM k")
+def gini_rank(spark, d):
+    w = Window.partitionBy("video_id")
+    s = segments(spark, d).where("fin > start").withColumn("len", F.col("fin") - F.col("start"))
+    rank, n = F.row_number().over(w.orderBy("len", "start")), F.count("*").over(w)
+    return s.select("video_id", "segment_id", (2 * rank - n - 1).cast("long").alias("weight"))
+
+
+@add("source_pair", f"WITH {_C}, o AS (SELECT DISTINCT video_id, coalesce(lower(caption_source),'unknown') AS s FROM c) SELECT video_id, min(s) || '-' || max(s) AS pair FROM o GROUP BY 1")
+def source_pair(spark, d):
+    s = F.coalesce(F.lower("caption_source"), F.lit("unknown"))
+    return segments(spark, d).groupBy("video_id").agg(F.concat_ws("-", F.min(s), F.max(s)).alias("pair"))

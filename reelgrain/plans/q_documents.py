@@ -55,9 +55,9 @@ _WORDS = "w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text,'[ \\t
 @add("idf_filter", f"WITH {_WORDS}, n AS (SELECT count(*) AS n FROM documents), f AS (SELECT t, ln((SELECT n FROM n)*1.0e0/count(DISTINCT doc_id)) AS idf FROM w GROUP BY 1) SELECT doc_id, round(avg(idf),5) AS mean_idf FROM w JOIN f USING (t) GROUP BY 1 HAVING round(avg(idf),5) >= 3.0")
 def idf_filter(spark, d):
     # counts per document first: a word that half of all documents share is one row a document, and its count is combined on the map side
-    n = docs(spark, d).agg(F.count("*").alias("total"))
+    n = docs(spark, d).count()
     words = docs(spark, d).where("text is not null").select("doc_id", F.explode(T.words(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("k"))
-    idf = words.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("t", F.log(F.col("total") / F.col("df")).alias("idf"))
+    idf = words.groupBy("t").agg(F.count("*").alias("df")).select("t", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
     by = words.join(idf, "t").groupBy("doc_id").agg(F.round(F.sum(F.col("idf") * F.col("k")) / F.sum("k"), 5).alias("mean_idf"))
     return by.where("mean_idf >= 3.0")
 
@@ -114,10 +114,10 @@ def question_hotspots(spark, d):
 def hotspot_questions(spark, d):
     length = F.coalesce("end", "start") - F.col("start")
     hot = table(spark, d, "case_c_video2").groupBy("video_id").agg(F.max_by("segment_id", F.struct(length, "segment_id")).alias("segment_id"), F.max(length).alias("len"))
-    most = hot.agg(F.max("len").alias("most"))
+    most = hot.agg(F.max("len")).first()[0] or 0.0
     q = docs(spark, d).where(F.contains("text", F.lit("?"))).groupBy("video_id").agg(F.count("*").alias("n"))
-    rows = hot.join(q, "video_id", "left").join(F.broadcast(most))
-    return rows.select("video_id", "segment_id", F.coalesce("n", F.lit(0)).alias("questions"), F.round(F.col("len") / F.greatest(F.lit(1.0), F.col("most")), 4).alias("relevance"))
+    rows = hot.join(q, "video_id", "left")
+    return rows.select("video_id", "segment_id", F.coalesce("n", F.lit(0)).alias("questions"), F.round(F.col("len") / max(1.0, most), 4).alias("relevance"))
 
 
 @add("sentiment_skip", "SELECT doc_id, NULL::VARCHAR AS sentiment, 0.0e0 AS score, false AS is_question FROM documents")

@@ -180,11 +180,11 @@ def pattern_filter(spark, d):
     return results(spark, d).where(F.lower(F.trim("grade")).isin("critical", "high") & ((F.col("professor") == "강종인") | (F.col("course") == "SQL 활용"))).select("id")
 
 
-@add("comparison_list", "SELECT id, row_number() OVER (ORDER BY suspicion_score DESC NULLS LAST, id) AS place FROM comparison_results WHERE review_status IS NOT NULL AND lower(trim(grade)) = 'high'")
+@add("comparison_list", "SELECT id, row_number() OVER (PARTITION BY course ORDER BY suspicion_score DESC NULLS LAST, id) AS place FROM comparison_results WHERE review_status IS NOT NULL AND lower(trim(grade)) = 'high'")
 def comparison_list(spark, d):
     rows = results(spark, d).where(F.col("review_status").isNotNull() & (F.lower(F.trim("grade")) == "high"))
-    # the listing itself is an ordered result; its size is that of the filter's
-    return rows.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("suspicion_score"), "id")).cast("long").alias("place"))
+    w = Window.partitionBy("course").orderBy(F.desc_nulls_last("suspicion_score"), "id")
+    return rows.select("id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @add("status_list", "SELECT review_status, count(*) AS n, min(id) AS first_id FROM comparison_results WHERE review_status IS NOT NULL GROUP BY 1")
@@ -284,6 +284,14 @@ def raw_vs_culled(spark, d):
     return unique_videos(table(spark, d, "videos")).groupBy("channel_id").agg(pairs(n).alias("raw"), pairs(k).alias("kept"))
 
 
+@add("nc2_length_pairs", "WITH v AS (SELECT DISTINCT video_id, channel_id, duration_seconds FROM videos) SELECT video_id, count(*) OVER (PARTITION BY channel_id) - 1 AS partners FROM v WHERE duration_seconds >= 1200")
+def nc2_length_pairs(spark, d):
+    # the pairs of a channel's long videos, as the number of partners of each
+    rows = unique_videos(table(spark, d, "videos")).where("duration_seconds >= 1200")
+    n = rows.groupBy("channel_id").agg((F.count("*") - 1).alias("partners"))
+    return rows.join(n, rows["channel_id"].eqNullSafe(n["channel_id"])).select("video_id", "partners")
+
+
 @add("run_progress", "SELECT coalesce(professor,'') AS professor, count(*) FILTER (WHERE reviewed_at IS NOT NULL) AS done, count(*) AS total, max(epoch_us(reviewed_at)) AS last_us FROM comparison_results GROUP BY 1")
 def run_progress(spark, d):
     return results(spark, d).groupBy(F.coalesce("professor", F.lit("")).alias("professor")).agg(F.count("reviewed_at").alias("done"), F.count("*").alias("total"), F.max(F.unix_micros("reviewed_at")).alias("last_us"))
