@@ -56,9 +56,3 @@ def blocks(placed: DataFrame, size: int, overlap: int) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("lo", "cut")))
     return rows.groupBy("video_id", "block").agg(F.array_join(F.transform(parts, lambda x: x["cut"]), "").alias("text"))
 
-
-def records(captions: DataFrame) -> DataFrame:
-    """video_id and the whole text of its record."""
-    parts = F.sort_array(F.collect_list(F.struct("off", "text")))
-    rows = placed_segments(captions).groupBy("video_id").agg(parts.alias("parts"))
-    return rows.select("video_id", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))

@@ -49,8 +49,8 @@ def marked(text: Column) -> Column:
     """The text with every label replaced by its normalised speaker between two control characters."""
     text = F.regexp_replace(text, f"[{_MARK}{_END}]", "")
     text = F.regexp_replace(text, CLOCK, " ")
-    text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), _labels(PROFESSOR, "", named=True), f"{_MARK}professor{_END}")
-    text = F.regexp_replace(text, _labels(ASSISTANT, ""), f"{_MARK}assistant{_END}")
+    text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), _labels(PROFESSOR, r"(?: ?\d{1,2})?", named=True), f"{_MARK}professor{_END}")
+    text = F.regexp_replace(text, _labels(ASSISTANT, r"(?: ?\d{1,2})?"), f"{_MARK}assistant{_END}")
     text = F.regexp_replace(text, _numbered(STUDENT), _spk("student"))
     return F.regexp_replace(text, _numbered(VOICE), _spk("speaker"))
 
