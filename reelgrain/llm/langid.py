@@ -80,15 +80,20 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def line_parts(line: str) -> tuple[dict[str, int], list[list[str]], list[str]]:
-    """What a line holds: letters by language that its script decides, stretches of Latin words, and of Han without kana."""
+    """What a line holds: letters by language that its script decides, stretches of Latin words, and of Han without kana.
+
+    Stretches too short for a sentence, such as page numbers and list marks, say nothing about the text's languages.
+    """
     line = _clean(line)
     found: dict[str, int] = {}
     hangul, cj, cyr, lat = (bool(x.search(line)) for x in _has)
     if hangul + cj + cyr + lat <= 1 and not cj:
+        n = letters(line)
         if lat:
-            return found, [_words.findall(line.lower())], []
-        if hangul or cyr:
-            found["ko" if hangul else "ru"] = letters(line)
+            words = _words.findall(line.lower())
+            return found, [words] if len(words) >= LATIN_WORDS or n >= LETTERS_PER_LINE else [], []
+        if n >= (HANGUL_LETTERS if hangul else LETTERS_PER_LINE if cyr else 1) and (hangul or cyr):
+            found["ko" if hangul else "ru"] = n
         return found, [], []
     latin: list[list[str]] = []
     han: list[str] = []
@@ -151,8 +156,8 @@ def line_parts(line: str) -> tuple[dict[str, int], list[list[str]], list[str]]:
         else:
             words_run.append(text.lower())
     end_hangul(), end_piece(), end_cyr(), end_latin()
-    if not found and not latin and not han and small:
-        # nothing long enough: what there is most of
+    if not found and not latin and not han and sum(small.values()) >= LETTERS_PER_LINE:
+        # a line of some length without a sentence: what there is most of
         most = max(small, key=small.get)
         if most == "latin":
             latin.append(_words.findall(line.lower()))
