@@ -425,7 +425,7 @@ def _title_names(courses: list[str]):
                 rest = re.sub(r"[()\[\]_]| - |^\s*-|-\s*$", " | ", rest) if "쌤)" not in rest else re.sub(r"[\[\]_]| - |^\s*-|-\s*$", " | ", rest)
                 for chunk in re.split(r"[|/]", rest):
                     chunk = chunk.strip(" -·,_")
-                    if re.search(r"[^\W\d_]{2,}", chunk):
+                    if len(re.findall(r"[^\W\d_]", chunk)) >= 2:
                         out.append((video, title, chunk, course))
             yield pd.DataFrame(out, columns=["video_id", "title", "name", "course"])
 

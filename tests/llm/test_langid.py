@@ -23,7 +23,7 @@ def test_labels(label, code):
 
 def test_parts():
     assert line_parts("search quality 파트에서 voltage activity 개념의 오류를 예로 시험에서 묻겠습니다")[0].keys() == {"ko"}
-    assert line_parts("荷重分布")[2] == ["荷重分布"]
+    assert line_parts("荷重分布標本抽出")[2] == ["荷重分布標本抽出"]
     assert letters("가나 다 1. ab") == 5
     for mark in ("(p. 48)", "1. 2. 3.", "Q.", "----", "", "ab"):
         assert line_parts(mark) == ({}, [], [])
