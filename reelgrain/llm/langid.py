@@ -61,7 +61,8 @@ def language_of(label: str | None) -> str | None:
     if label is None:
         return None
     words = re.split(r"[^a-z]+", label.strip().lower())
-    return _BY_CODE.get(words[0]) if words else None
+    # a code comes first; of a name, the language may follow its kind (Brazilian Portuguese)
+    return _BY_CODE.get(words[0]) or next((_BY_CODE[w] for w in words[1:] if len(w) > 3 and w in _BY_CODE), None)
 
 
 def letters(line: str) -> int:

@@ -16,7 +16,7 @@ PHRASES = {
 }
 
 
-@pytest.mark.parametrize("label, code", [("ko_KR", "ko"), (" English ", "en"), ("zho", "zh"), ("pt-BR", "pt"), ("und", None), ("", None), (None, None), ("xx", None), ("n/a", None)])
+@pytest.mark.parametrize("label, code", [("ko_KR", "ko"), (" English ", "en"), ("zho", "zh"), ("pt-BR", "pt"), ("Brazilian Portuguese", "pt"), ("zh-Hans-CN", "zh"), ("fr", None), ("und", None), ("", None), (None, None), ("xx", None), ("n/a", None)])
 def test_labels(label, code):
     assert language_of(label) == code
 
