@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +28,31 @@ PATTERNS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("dept_first", rf"^({_DEPT})\s+\S+\s+({_WORDS})\s+(\d{{4}})\s+{_WEEK}\s+{_SESSION}(?:\s+\S+)*\s+({_NAME})$", ("department", "course", "year", "week", "session", "professor")),
 )
 
+# What is taken from a title that no pattern matches, and words that are no names there.
+FALLBACK = {"week": _WEEK, "session": _SESSION, "year": r"(?<!\d)(20\d{2})(?!\d)", "semester": "([12])학기", "department": "([가-힣]+(?:학과|과))"}
+_IN_PARENTHESES, _AT_START = rf"\(({_NAME}(?:/{_NAME})*)\)", rf"^(?:\d+[-\s.]*)?({_NAME})\s"
+NO_NAMES = ("주차", "차시", "학과", "학기", "학년도", "학년", "학기말", "중간", "기말")
+
+# Decimal digits of all scripts, each ten in order from 0 to 9.
+_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+
+
+def plain_digits(c: Column) -> Column:
+    """Digits of any script, which the patterns take too, as ASCII."""
+    return F.translate(c, _DIGITS, "0123456789" * (len(_DIGITS) // 10))
+
+
+def fallback_names(title: Column) -> Column:
+    """Names in the first parentheses that hold only names, else the name at the start; words of NO_NAMES are none."""
+    names = lambda p: F.filter(T.professor_names(F.regexp_extract(title, "(?U)" + p, 1)), lambda x: ~x.isin(*NO_NAMES))
+    return F.when(F.size(names(_IN_PARENTHESES)) > 0, names(_IN_PARENTHESES)).otherwise(names(_AT_START))
+
 
 def parse(titles: DataFrame) -> DataFrame:
     """video_id, matched_pattern, professor (joined by |), course, year, semester, week, session, department, category, parse_error.
 
     The number of the matching pattern is found once; each field is then one extraction chosen by it. Null and blank titles
-    and titles that no pattern matches are parse errors.
+    and titles that no pattern matches are parse errors; of the latter, each field but the course is looked for by itself.
     """
     t = F.coalesce("title", F.lit(""))
     which = F.lit(None).cast("int")
@@ -39,19 +61,21 @@ def parse(titles: DataFrame) -> DataFrame:
     rows = titles.select("video_id", t.alias("t"), which.alias("which"))
 
     def field(name: str) -> Column:
-        out = F.lit(None).cast("string")
+        out = F.when(F.col("which").isNull(), F.regexp_extract("t", "(?U)" + FALLBACK[name], 1)) if name in FALLBACK else F.lit(None).cast("string")
         for i, (_, pattern, fields) in enumerate(PATTERNS):
             if name in fields:
                 out = F.when(F.col("which") == i, F.regexp_extract("t", "(?U)" + pattern, fields.index(name) + 1)).otherwise(out)
         return F.nullif(out, F.lit(""))
 
-    pair = field("year_pair")
+    professors = F.when(F.col("which").isNull(), fallback_names(F.col("t"))).otherwise(T.professor_names(field("professor")))
+    pair = plain_digits(field("year_pair"))
+    number = lambda name: plain_digits(field(name)).try_cast("int")
     pair_year = F.when(pair.rlike(r"^\d{4}"), F.substring(pair, 1, 4).try_cast("int")).otherwise(2000 + F.substring(pair, 1, 2).try_cast("int"))
     names = F.when(F.col("which").isNotNull(), F.get(F.array(*[F.lit(p[0]) for p in PATTERNS]), F.coalesce("which", F.lit(0))))
     return rows.select(
-        "video_id", names.alias("matched_pattern"), F.concat_ws("|", T.professor_names(field("professor"))).alias("professor"), field("course").alias("course"),
-        F.coalesce(field("year").try_cast("int"), pair_year).alias("year"), F.coalesce(field("semester").try_cast("int"), F.regexp_extract(pair, r"\d+-([12])", 1).try_cast("int")).alias("semester"),
-        field("week").try_cast("int").alias("week"), field("session").try_cast("int").alias("session"), field("department").alias("department"), T.category(F.col("t")).alias("category"), F.col("which").isNull().alias("parse_error"),
+        "video_id", names.alias("matched_pattern"), F.concat_ws("|", professors).alias("professor"), field("course").alias("course"),
+        F.coalesce(number("year"), pair_year).alias("year"), F.coalesce(number("semester"), F.regexp_extract(pair, r"\d+-([12])", 1).try_cast("int")).alias("semester"),
+        number("week").alias("week"), number("session").alias("session"), field("department").alias("department"), T.category(F.col("t")).alias("category"), F.col("which").isNull().alias("parse_error"),
     )
 
 
