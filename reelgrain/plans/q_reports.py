@@ -192,6 +192,13 @@ def parse_stats(spark, d):
     return table(spark, d, "sample_titles").agg(F.count("*").alias("total"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("failed"), F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 6).alias("rate"))
 
 
+@add("parse_stats_parser")
+def parse_stats_parser(spark, d):
+    """parse_stats by the outcome of the parser; the SQL of parse_stats takes any week number for success."""
+    rows = titles_op.parse(table(spark, d, "sample_titles"))
+    return rows.agg(F.count("*").alias("total"), F.count_if(~F.col("parse_error")).alias("parsed"), F.count_if("parse_error").alias("failed"), F.round(F.avg(F.when(F.col("parse_error"), 0.0).otherwise(1.0)), 6).alias("rate"))
+
+
 @add("title_parse")
 def title_parse(spark, d):
     return titles_op.parse(table(spark, d, "sample_titles"))
@@ -292,6 +299,13 @@ for _name, _rule in RULES.items():
     add(_name, f"WITH {_P} {_V[_name]}")(_rule)
 
 
+@add("v005_parser")
+def v005_parser(spark, d):
+    """V-005 by the outcome of the parser; the SQL of v005 takes any week number for success."""
+    bad = titles_op.parse(table(spark, d, "sample_titles")).where("parse_error")
+    return bad.select("video_id").distinct().select(F.lit("V-005").alias("rule_id"), F.lit("warning").alias("severity"), F.col("video_id").alias("ids"))
+
+
 @add("v004")
 def v004(spark, d):
     return titles_op.near_names(table(spark, d, "professor_detail").select(F.col("professor_name").alias("name")))
