@@ -11,7 +11,7 @@ from reelgrain.functions import text as T
 from reelgrain.operators.facts import parsed_facts, unique_videos
 from reelgrain.operators import titles as titles_op
 from reelgrain.plans.registry import Registry
-from reelgrain.storage import table
+from reelgrain.storage import materialize, table
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -308,7 +308,13 @@ def v005_parser(spark, d):
 
 @add("v004")
 def v004(spark, d):
-    return titles_op.near_names(table(spark, d, "professor_detail").select(F.col("professor_name").alias("name")))
+    """Professor names of the videos within two edits of each other, with the videos of both."""
+    names = facts(spark, d).select("video_id", F.explode(T.professor_names(F.col("professor"))).alias("name"))
+    by = materialize(names.groupBy("name").agg(F.collect_set("video_id").alias("v")))
+    of = lambda x: by.select(F.col("name").alias(f"name_{x}"), F.col("v").alias(f"v_{x}"))
+    pairs = titles_op.near_names(by.select("name")).join(of("a"), "name_a").join(of("b"), "name_b")
+    ids = F.concat_ws("|", F.sort_array(F.array_union("v_a", "v_b")))
+    return pairs.select(F.lit("V-004").alias("rule_id"), F.lit("warning").alias("severity"), ids.alias("ids"), "name_a", "name_b", "distance")
 
 
 @add("levenshtein", "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nx FROM part) SELECT p_partkey, levenshtein(p_name, nx)::INT AS distance FROM n WHERE nx IS NOT NULL")

@@ -23,3 +23,10 @@ def test_parse_failures_are_those_of_the_parser(spark, tmp_path):
     titles(spark, tmp_path)
     assert sorted(map(tuple, run(spark, tmp_path, "v005_parser").collect())) == [("V-005", "warning", x) for x in "bcd"]
     assert tuple(run(spark, tmp_path, "parse_stats_parser").first()) == (5, 1, 4, 0.2)
+
+
+def test_near_names_come_from_the_videos(spark, tmp_path):
+    rows = [(1, "v1", "김도아", "c", 1, 1, 2023), (2, "v2", "김도아", "c", 2, 1, 2023), (3, "v3", "김도하나", "c", 3, 1, 2023), (4, "v4", "김도하나 / Elizabeth", "c", 4, 1, 2023), (5, "v5", None, "c", 5, 1, 2023), (6, "v6", "(Elisabeth)", "c", 6, 1, 2023), (7, "v6", "(Elisabet)", "c", 6, 1, 2023)]
+    write(spark, tmp_path, rows, "comparison_results", FACTS)
+    got = sorted(map(tuple, run(spark, tmp_path, "v004").select("rule_id", "severity", "ids", "name_a", "name_b", "distance").collect()))
+    assert got == [("V-004", "warning", "v1|v2|v3|v4", "김도아", "김도하나", 2), ("V-004", "warning", "v4|v6", "Elisabet", "Elizabeth", 2)]
