@@ -249,8 +249,8 @@ def v002(spark, d) -> DataFrame:
     return by.where("n >= 2").select(F.lit("V-002").alias("rule_id"), F.lit("error").alias("severity"), "ids")
 
 
-def v003(spark, d) -> DataFrame:
-    return facts(spark, d).where("week <= 0 or week > 14").select(F.lit("V-003").alias("rule_id"), F.lit("error").alias("severity"), F.col("video_id").alias("ids"))
+def v003(spark, d, most=14) -> DataFrame:
+    return facts(spark, d).where((F.col("week") <= 0) | (F.col("week") > most)).select(F.lit("V-003").alias("rule_id"), F.lit("error").alias("severity"), F.col("video_id").alias("ids"))
 
 
 def v005(spark, d) -> DataFrame:
@@ -265,11 +265,11 @@ def v006(spark, d) -> DataFrame:
     return gaps.select(F.lit("V-006").alias("rule_id"), F.lit("warning").alias("severity"), F.concat_ws("|", "course", F.col("week").cast("string"), F.col("session").cast("string")).alias("ids"))
 
 
-def v007(spark, d) -> DataFrame:
+def v007(spark, d, most=1.5) -> DataFrame:
     w = Window.partitionBy("course")
     rows = joined(spark, d).where("duration_seconds > 0 and course is not null")
     rows = rows.withColumns({"m": F.avg("duration_seconds").over(w), "s": F.stddev_samp("duration_seconds").over(w), "n": F.count("*").over(w)})
-    return rows.where("n >= 3 and s > 0 and abs(duration_seconds - m) / s > 1.5").select(F.lit("V-007").alias("rule_id"), F.lit("info").alias("severity"), F.col("video_id").alias("ids"))
+    return rows.where((F.col("n") >= 3) & (F.col("s") > 0) & (F.abs(F.col("duration_seconds") - F.col("m")) / F.col("s") > most)).select(F.lit("V-007").alias("rule_id"), F.lit("info").alias("severity"), F.col("video_id").alias("ids"))
 
 
 def v008(spark, d) -> DataFrame:
@@ -299,6 +299,18 @@ for _name, _rule in RULES.items():
     add(_name, f"WITH {_P} {_V[_name]}")(_rule)
 
 
+@add("v003_week16")
+def v003_week16(spark, d):
+    """V-003 with the weeks of a term as its limit; v003 keeps to its SQL, which has a limit of 14."""
+    return v003(spark, d, WEEKS)
+
+
+@add("v007_sigma3")
+def v007_sigma3(spark, d):
+    """V-007 beyond three standard deviations; v007 keeps to its SQL, which has 1.5."""
+    return v007(spark, d, 3.0)
+
+
 @add("v005_parser")
 def v005_parser(spark, d):
     """V-005 by the outcome of the parser; the SQL of v005 takes any week number for success."""

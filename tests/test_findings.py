@@ -30,3 +30,14 @@ def test_near_names_come_from_the_videos(spark, tmp_path):
     write(spark, tmp_path, rows, "comparison_results", FACTS)
     got = sorted(map(tuple, run(spark, tmp_path, "v004").select("rule_id", "severity", "ids", "name_a", "name_b", "distance").collect()))
     assert got == [("V-004", "warning", "v1|v2|v3|v4", "김도아", "김도하나", 2), ("V-004", "warning", "v4|v6", "Elisabet", "Elizabeth", 2)]
+
+
+def test_limits_of_weeks_and_durations(spark, tmp_path):
+    weeks = {"a": -1, "b": 0, "c": 1, "d": 15, "e": 16, "f": 17, "g": None}
+    rows = [(i, v, "김도아", "few", w, 1, 2023) for i, (v, w) in enumerate(weeks.items())] + [(100 + i, f"x{i:02}", "이서진", "many", 1, 1, 2023) for i in range(14)] + [(200 + i, f"y{i}", "이서진", "even", 1, 1, 2023) for i in range(6)]
+    write(spark, tmp_path, rows, "comparison_results", FACTS)
+    seconds = {f"x{i:02}": 1000 + i for i in range(13)} | {"x13": 9000} | {f"y{i}": 1000 for i in range(5)} | {"y5": 2000}
+    spark.createDataFrame(list(seconds.items()), "video_id string, duration_seconds long").selectExpr("*", "1L AS view_count", "TIMESTAMP '2023-03-01 00:00:00' AS published_at").write.parquet(f"{tmp_path}/videos.parquet")
+    ids = lambda name: sorted(r.ids for r in run(spark, tmp_path, name).collect())
+    assert ids("v003_week16") == ["a", "b", "f"] and ids("v003") == ["a", "b", "d", "e", "f"]
+    assert ids("v007_sigma3") == ["x13"] and ids("v007") == ["x13", "y5"]
