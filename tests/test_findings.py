@@ -41,3 +41,14 @@ def test_limits_of_weeks_and_durations(spark, tmp_path):
     ids = lambda name: sorted(r.ids for r in run(spark, tmp_path, name).collect())
     assert ids("v003_week16") == ["a", "b", "f"] and ids("v003") == ["a", "b", "d", "e", "f"]
     assert ids("v007_sigma3") == ["x13"] and ids("v007") == ["x13", "y5"]
+
+
+def test_nine_rules_are_united(spark, tmp_path):
+    assert sorted(q_reports.NINE) == [f"v00{i}" for i in range(1, 10)]
+    titles(spark, tmp_path)
+    rows = [(1, "v1", "김도아", "c", 1, 1, 2023), (2, "v2", "김도하나", "d", 1, 1, 2023)]
+    write(spark, tmp_path, rows, "comparison_results", FACTS)
+    spark.sql(f"SELECT id AS video_id, 100L AS duration_seconds, 1L AS view_count, TIMESTAMP '2023-03-01 00:00:00' AS published_at FROM VALUES ('v1'), ('v2') AS t(id)").write.parquet(f"{tmp_path}/videos.parquet")
+    assert sorted(map(tuple, run(spark, tmp_path, "findings_union_nine").collect())) == [("V-004", 1), ("V-005", 3)]
+    got = sorted(map(tuple, run(spark, tmp_path, "findings_ranked_nine").select("rule_id", "severity", "ids", "place").collect()))
+    assert got == [("V-004", "warning", "v1|v2", 1)] + [("V-005", "warning", x, 1) for x in "bcd"]
