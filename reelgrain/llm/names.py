@@ -318,13 +318,16 @@ def _scores(pairs: DataFrame) -> DataFrame:
 
 
 def register(details: DataFrame, results: DataFrame) -> DataFrame:
-    """A row per spelling and course of the register: detail_id, name, course; courses also from results typed exactly so."""
+    """A row per spelling and course of the register: detail_id, name, course; courses also from results typed exactly so.
+
+    A spelling without courses has a row whose course is null.
+    """
     rows = details.where("professor_name is not null and detail_id is not null").select("detail_id", F.col("professor_name").alias("name"), "courses")
-    own = rows.select("detail_id", "name", F.explode("courses").alias("course"))
+    own = rows.select("detail_id", "name", F.explode_outer("courses").alias("course"))
     seen = results.where("professor is not null and course is not null").select(F.col("professor").alias("name"), "course").distinct()
     seen = seen.join(F.broadcast(rows.select("detail_id", "name")) if rows.count() <= BROADCAST_ROWS else rows.select("detail_id", "name"), "name")
     whole = F.col("name").rlike("^[가-힣]{3}$") | F.col("name").rlike("^[A-Z][a-z]{2,} [A-Z][a-z]{3,}$")
-    return own.unionByName(seen.where(whole).select("detail_id", "name", "course")).where("course is not null").distinct()
+    return own.unionByName(seen.where(whole).select("detail_id", "name", "course")).distinct()
 
 
 def persons(known: DataFrame) -> DataFrame:
@@ -334,8 +337,9 @@ def persons(known: DataFrame) -> DataFrame:
     among those not taken becomes a centre and takes its free neighbours, in rounds: a row is a centre once none of its
     free neighbours comes before it.
     """
-    items = known.withColumnRenamed("detail_id", "other")
-    pairs = _scores(_meeting(items, known, ["other"]).where("other <> detail_id"))
+    taught = known.where("course is not null")
+    items = taught.withColumnRenamed("detail_id", "other")
+    pairs = _scores(_meeting(items, taught, ["other"]).where("other <> detail_id"))
     links = materialize(pairs.select(F.col("other").alias("a"), F.col("detail_id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score")))
     degree = links.groupBy("a").agg(F.sum("score").alias("degree"))
     nodes = known.select(F.col("detail_id").alias("a")).distinct().join(degree, "a", "left").na.fill(0.0, ["degree"])
@@ -365,7 +369,7 @@ def course_groups(known: DataFrame) -> dict[str, str]:
             x = group[x]
         return x
 
-    taught = known.groupBy("detail_id").agg(F.sort_array(F.collect_set("course")).alias("courses")).select("courses").distinct()
+    taught = known.where("course is not null").groupBy("detail_id").agg(F.sort_array(F.collect_set("course")).alias("courses")).select("courses").distinct()
     for (courses,) in taught.collect():
         for c in courses[1:]:
             a, b = sorted((find(courses[0]), find(c)))
@@ -386,11 +390,15 @@ def linked(items: DataFrame, known: DataFrame, people: DataFrame) -> DataFrame:
     """name, course, person: the person whose spellings are most like the name, if clearly one is.
 
     First among the spellings known for the course; names that are like none of these (a guest in another's course) among
-    those of courses taught by the same people; items without a course among all, where they need to be nearly the same.
+    those of courses taught by the same people; items without a course, or with one that the register doesn't have, among all,
+    where they need to be nearly the same.
     """
     items = items.select("name", "course").distinct()
-    pairs = materialize(_scores(_meeting(items, known, [])))
+    foreign = materialize(items.where("course is not null").join(F.broadcast(known.select("course").distinct()), "course", "left_anti"))
+    anywhere = foreign.select("name", F.lit(None).cast("string").alias("course"))
+    pairs = materialize(_scores(_meeting(items.unionByName(anywhere).distinct(), known, [])))
     first = materialize(_best(pairs.where(F.col("course").isNotNull() | (F.col("score") >= ALIKE_ANYWHERE)), people, "course"))
+    first = first.unionByName(first.where("course is null").select("name", "person").join(foreign, "name").select("name", "course", "person"))
     groups = course_groups(known)
     if not groups:
         return first
@@ -443,7 +451,7 @@ def variants(results: DataFrame, details: DataFrame, titles: DataFrame) -> DataF
     main = people.join(details.select("detail_id", "professor_name").distinct(), "detail_id").where("detail_id = person").select("person", F.col("professor_name").alias("main"))
     others = people.where("detail_id <> person").select(F.lit("professor_name").alias("field"), F.col("detail_id").cast("string").alias("record_key"), F.col("person").alias("detail_id"))
 
-    courses = sorted({r[0] for r in known.select("course").distinct().collect()})  # bounded by the register
+    courses = sorted({r[0] for r in known.where("course is not null").select("course").distinct().collect()})  # bounded by the register
     named = titles.where("title is not null and title <> ''").select("video_id", "title").distinct()
     named = materialize(named.mapInPandas(_title_names(courses), "video_id string, title string, name string, course string"))
     typed = results.where("professor is not null").select("id", F.col("professor").alias("name"), "course")

@@ -37,3 +37,10 @@ def test_links(spark):
     got = sorted(map(tuple, variants(*frames).collect()))
     assert got == sorted([("professor", "11", 1), ("professor", "12", 3), ("professor", "13", 4), ("professor", "16", 1), ("professor", "17", 1), ("professor_name", "2", 1), ("title", "v2", 1), ("title", "v3", 3), ("title", "v6", 1)])
     assert variants(*[f.limit(0) for f in frames]).count() == 0
+
+
+def test_courses_that_the_register_lacks(spark):
+    details = [(1, "김도아", ["A학"], "x"), (7, "박서린", None, "x"), (8, "최민혁", [], "x")]
+    results = [(20, "박서린 교수", None, "x"), (21, "김도아 교수", "Ω학", "x"), (22, "최민혁 교수", "Z학", "x"), (23, "손님", "Z학", "x"), (24, "김도아 교수", "A학", "x")]
+    frames = spark.createDataFrame(results, RESULTS), spark.createDataFrame(details, DETAILS), spark.createDataFrame([], TITLES)
+    assert sorted(map(tuple, variants(*frames).collect())) == [("professor", "20", 7), ("professor", "21", 1), ("professor", "22", 8), ("professor", "24", 1)]
