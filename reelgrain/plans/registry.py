@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelgrain.storage import scoped
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -38,7 +40,7 @@ def _modules() -> list[Registry]:
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for r in _modules() for name, q in r.queries.items()}
+    return {name: scoped(q) for r in _modules() for name, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
