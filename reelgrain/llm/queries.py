@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgrain.llm import components, langid, mixing, names, packing, shared_spans, splitting, turns, visual_form
 from reelgrain.llm.oracle import ORACLE
-from reelgrain.storage import table
+from reelgrain.storage import scoped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,8 +90,16 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.line_languages(table(spark, d, "documents"))
 
 
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.segment_languages(table(spark, d, "documents"))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
+    own = {name: scoped(f) for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
     return dict(sorted(own.items(), key=lambda x: (int(x[0][1 : x[0].index("_")]), not x[0].endswith("_found"))))
 
 
