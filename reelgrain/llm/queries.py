@@ -31,6 +31,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.match_groups(table(spark, d, "comparison_results"))
 
 
+def p2_grid(spark: SparkSession, d: str) -> DataFrame:
+    """p2_found with cells so small that the grid has many of them and representatives are exchanged at any size of the tables."""
+    return components.match_groups(table(spark, d, "comparison_results"), edges_per_cell=1000)
+
+
 def _contents(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "sample_titles").select(F.lit("title").alias("field"), F.col("video_id").alias("key"), F.col("title").alias("content"))
     lines = table(spark, d, "case_c_video2").select(F.lit("text").alias("field"), F.col("segment_id").alias("key"), F.col("text").alias("content"))
@@ -74,6 +79,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("container_id", F.size("items").alias("n_items"), "used", "unused")
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.invariants(packing.containers(table(spark, d, "documents"), _limit(spark, d, "container_capacity")), _limit(spark, d, "container_capacity"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 

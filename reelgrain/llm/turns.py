@@ -45,11 +45,15 @@ def _spk(to: str) -> str:
     return f"{_MARK}{to}$1$2$3$4{_END}"
 
 
+def tidied(text: Column) -> Column:
+    """The text without clock times and control characters, with single blanks: what labels and their hint are sought in."""
+    text = F.regexp_replace(F.regexp_replace(text, f"[{_MARK}{_END}]", ""), CLOCK, " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def marked(text: Column) -> Column:
-    """The text with every label replaced by its normalised speaker between two control characters."""
-    text = F.regexp_replace(text, f"[{_MARK}{_END}]", "")
-    text = F.regexp_replace(text, CLOCK, " ")
-    text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), _labels(PROFESSOR, r"(?: ?\d{1,2})?", named=True), f"{_MARK}professor{_END}")
+    """The tidied text with every label replaced by its normalised speaker between two control characters."""
+    text = F.regexp_replace(text, _labels(PROFESSOR, r"(?: ?\d{1,2})?", named=True), f"{_MARK}professor{_END}")
     text = F.regexp_replace(text, _labels(ASSISTANT, r"(?: ?\d{1,2})?"), f"{_MARK}assistant{_END}")
     text = F.regexp_replace(text, _numbered(STUDENT), _spk("student"))
     return F.regexp_replace(text, _numbered(VOICE), _spk("speaker"))
@@ -63,13 +67,13 @@ def clean_words(chunk: Column) -> Column:
     return F.when(chunk.rlike(r"[\p{L}\p{N}]"), chunk)
 
 
-#: What every label has: one of its words or a number, and the mark that ends a label. Sought before the full patterns.
-_HINT = r"(?i)(?:교수님?|강사님?|선생님|조교님?|튜터님?|prof|prof\.|professor|instructor|lecturer|assistant|tutor|ta|\d) ?(?:[:)>\]]| -)"
+#: What every label in a tidied text has: one of its words or a number, and the mark that ends a label. Sought before the full patterns.
+_HINT = rf"(?i)(?:{PROFESSOR}|{ASSISTANT}|\d) ?(?:[:)>\]]|-)"
 
 
 def stretches(captions: DataFrame) -> DataFrame:
     """The stretches with speech of all records that carry a label: video_id, off, part, segment_id, start, end, speaker, words."""
-    rows = placed_segments(captions, "end").withColumn("text", form("text"))
+    rows = placed_segments(captions, "end").withColumn("text", tidied(form("text")))
     rows = rows.withColumn("hints", F.count_if(F.col("text").rlike(_HINT)).over(Window.partitionBy("video_id"))).where("hints > 0")
     cut = F.split(marked(F.col("text")), _MARK)
     rows = rows.select("video_id", "segment_id", "start", "end", "off", F.posexplode(cut).alias("part", "chunk"))

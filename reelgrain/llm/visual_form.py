@@ -3,6 +3,8 @@
 Width variants, presentation forms and ligatures are resolved by their compatibility decomposition, except where it
 changes the look (raised, lowered, circled, squared, fractions); look-alike letters and marks become the Latin letter or
 the common mark; every blank becomes U+0020 and characters without a shape disappear; the result is composed (NFC).
+Beyond the listed look-alikes, the wide form takes in the public confusables data of Unicode, as the Unicode library in Spark
+has them: letters to letters of the same case, digits to digits and marks to marks of ASCII.
 With fold=True the form is for caseless search instead: full compatibility decomposition and full case folding.
 """
 
@@ -15,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,11 +82,41 @@ def _jamo() -> dict[int, str]:
 _plain = re.compile(_PLAIN)
 
 
-def visual_form(text: str) -> str:
-    """The form of one text; texts look the same to a reader if and only if their forms are equal."""
+#: Kinds of compatibility decomposition that are another look: raised, lowered, enclosed.
+_OTHER_LOOK = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
+#: Scripts whose letters stand for themselves, whatever they resemble.
+_OWN = ("CJK", "HANGUL", "HIRAGANA", "KATAKANA", "IDEOGRAPHIC", "BOPOMOFO", "KANGXI")
+
+
+def _class(ch: str) -> str:
+    """Letters by case, digits, marks; letters without case go with the small ones."""
+    kind = unicodedata.category(ch)
+    return "upper" if kind in ("Lu", "Lt") else "lower" if kind in ("Ll", "Lo") else "digit" if kind == "Nd" else "mark" if kind[0] in "PS" and kind != "Sk" or kind == "Lm" else "none"
+
+
+@lru_cache(maxsize=2)
+def _confusables(jvm) -> dict[int, str]:
+    known = _table()
+    chars = [c for o in range(0x80, 0x20000) if o not in known and (c := chr(o)) and unicodedata.category(c) not in ("Cn", "Cs", "Co") and unicodedata.normalize("NFD", c) == c and not unicodedata.name(c, "").startswith(_OWN) and unicodedata.decomposition(c).split(" ")[0] not in _OTHER_LOOK]
+    ascii_ = [chr(o) for o in range(33, 127)]
+    skeletons = getattr(jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build().getSkeleton("\n".join(ascii_ + chars)).split("\n")
+    to: dict[tuple[str, str], str] = {}
+    for c, s in zip(ascii_, skeletons):
+        to.setdefault((s, _class(c)), c)
+    return {ord(c): x for c, s in zip(chars, skeletons[len(ascii_) :]) if (x := to.get((s, _class(c)))) is not None}
+
+
+def confusables(spark: SparkSession) -> dict[int, str]:
+    """Code points beyond the table of visual_form that are drawn like an ASCII character of their class; read once."""
+    return _confusables(spark._jvm)
+
+
+def visual_form(text: str, more: dict[int, str] | None = None) -> str:
+    """The form of one text; texts look the same to a reader if and only if their forms are equal. `more` as from confusables."""
     if _plain.match(text):
         return text
-    text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table()))
+    text = unicodedata.normalize("NFD", text).translate(_table())
+    text = unicodedata.normalize("NFC", text.translate(more) if more else text)
     return text.translate(_jamo()) if re.search("[ᄀ-ᇿ]", text) else text
 
 
@@ -109,9 +141,19 @@ def _caseless(values: pd.Series) -> pd.Series:
     return _per_distinct(values, caseless_form)
 
 
-def form(text: str | Column, fold: bool = False) -> Column:
-    """Column of the form; null stays null. Texts of plain characters never leave the JVM."""
+def _wide(more: dict[int, str]):
+    @F.pandas_udf(T.StringType())
+    def wide(values: pd.Series) -> pd.Series:
+        return _per_distinct(values, lambda x: visual_form(x, more))
+
+    return wide
+
+
+def form(text: str | Column, fold: bool = False, more: dict[int, str] | None = None) -> Column:
+    """Column of the form, with the look-alikes of `more` too if given; null stays null. Texts of plain characters never leave the JVM."""
     c = F.col(text) if isinstance(text, str) else text
+    if more:
+        return F.coalesce(_wide(more)(F.when(~c.rlike(_PLAIN), c)), c)
     if fold:
         return F.coalesce(_caseless(F.when(~c.rlike(r"^[ -_a-z{-~가-힣&&[^A-Z]]*$"), c)), c)
     return F.coalesce(_visual(F.when(~c.rlike(_PLAIN), c)), c)
@@ -120,7 +162,7 @@ def form(text: str | Column, fold: bool = False) -> Column:
 def _keyed(contents: DataFrame) -> DataFrame:
     """field, key, two hashes of the form and one of the content, for rows with a key and a content."""
     rows = contents.where("key is not null and content is not null and content <> ''")
-    rows = rows.select("field", F.col("key").cast("string").alias("key"), F.xxhash64("content").alias("c"), form("content").alias("form"))
+    rows = rows.select("field", F.col("key").cast("string").alias("key"), F.xxhash64("content").alias("c"), form("content", more=confusables(contents.sparkSession)).alias("form"))
     return rows.select("field", "key", "c", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2"))
 
 

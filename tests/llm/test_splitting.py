@@ -48,4 +48,17 @@ def test_pieces_round_trip(spark):
 
 def test_cuts_at_sentences():
     text = "a" * 30 + ". " + "b" * 30 + " " + "c" * 40
-    assert natural_ends(text, np.array([62, len(text)])).tolist() == [31, 62, len(text)]
+    assert natural_ends(text, np.array([62, len(text)]))[0].tolist() == [31, 62, len(text)]
+
+
+def test_cuts_at_pauses_and_sentences_before_segment_ends(spark):
+    ends, strong = natural_ends("aaaa. bbbb cccc dddd", np.array([10, 15, 20]), np.array([True, False, False]))
+    assert ends.tolist() == [5, 10, 15, 20] and strong.tolist() == [5, 10]
+    every, some = np.arange(10, 400, 10), np.array([70, 160, 250])
+    assert greedy_cuts(every, 400, 100, 20, some).tolist() == [70, 150, 230, 310, 390, 400]
+    assert greedy_cuts(every, 400, 100, 20, np.array([30])).tolist() == greedy_cuts(every, 400, 100, 20).tolist()
+    words = ["a" * 9] * 12  # nine characters and a blank each
+    rows = [(f"s{i}", "v", i * 2.0, i * 2.0 + (0.5 if i in (6, 9) else 1.9), t, "x") for i, t in enumerate(words)]
+    rows[6] = (*rows[6][:3], None, *rows[6][4:])  # no end: no pause
+    df = spark.createDataFrame(rows, "segment_id string, video_id string, start double, `end` double, text string, label string")
+    assert [(r.first, r["last"]) for r in sorted(pieces(df, 110, 10).collect())] == [(0, 99), (89, 119)]

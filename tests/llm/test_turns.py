@@ -34,3 +34,10 @@ def test_turns(spark):
         ("v", 7, "professor", "v_11", "주의 - 끝"),
     ]
     assert turns(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hint_is_read_where_labels_are(spark):
+    # two blanks before the colon, a clock time inside, a label at the end: no other label in the record
+    rows = [("a_0", "a", 0.0, 1.0, "교수  : 시작합니다", "x"), ("b_0", "b", 0.0, 1.0, "학생 1 00:10 : 네", "x"), ("c_0", "c", 0.0, 1.0, "tutor -", "x"), ("c_1", "c", 1.0, 2.0, "yes", "x"), ("d_0", "d", 0.0, 1.0, "plain words", "x")]
+    got = sorted((r.video_id, r.speaker) for r in turns(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("a", "professor"), ("b", "student1"), ("c", "assistant")]

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
-from reelgrain.llm.visual_form import alike_classes, alike_pairs, caseless_form, form, visual_form
+from reelgrain.llm.visual_form import alike_classes, alike_pairs, caseless_form, confusables, form, visual_form
 
 
 @pytest.mark.parametrize(
@@ -19,6 +19,17 @@ def test_different_look(a, b):
     assert visual_form(a) != visual_form(b)
 
 
+def test_public_confusables(spark):
+    more = confusables(spark)
+    assert len(more) > 200
+    for a, b in (("ρ", "p"), ("υ", "u"), ("α", "a"), ("ι", "i"), ("ѵ", "v"), ("Ԍ", "G"), ("ց", "g"), ("ռ", "n"), ("ı", "i"), ("Ꭺ", "A"), ("Ꮪ", "S"), ("ά", "á")):
+        assert visual_form(a, more) == b, a
+    for a, b in (("З", "3"), ("б", "6"), ("ʰ", "h"), ("①", "1"), ("ㅇ", "o"), ("ㅣ", "l"), ("一", "-"), ("×", "x"), ("α", "A")):
+        assert visual_form(a, more) != b, a
+    df = spark.createDataFrame([("ραρ 가",), (None,), ("plain",)], "t string")
+    assert [r[0] for r in df.select(form("t", more=more)).collect()] == ["pap 가", None, "plain"]
+
+
 def test_caseless():
     assert caseless_form("Straße ①") == "strasse 1"
 
