@@ -19,12 +19,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrain.llm.visual_form import form, visual_form
 from reelgrain.storage import materialize
 
 #: Least similarity of q-gram sets that shall meet, and with what probability; similarity from which spellings are one name.
-LEAST_JACCARD, RECALL, ALIKE, ALIKE_IN_GROUP, ALIKE_ANYWHERE, LEAD = 0.2, 0.999, 0.8, 0.85, 0.95, 0.04
+LEAST_JACCARD, RECALL, ALIKE, ALIKE_IN_GROUP, ALIKE_ANYWHERE, LEAD = 0.35, 0.99, 0.8, 0.85, 0.95, 0.04
+#: Hashes that must agree for two names to share a band.
+ROWS = 2
 #: A register of at most so many rows (times its courses and bands some 20 bytes) is broadcast; beyond it, shuffled.
 BROADCAST_ROWS = 5_000
 
@@ -205,7 +208,10 @@ def _hangul_hangul(a: str, b: str) -> float:
     if len(a) == 2 and len(b) == 3:  # a given name alone
         return 0.92 * (_syllables_alike(a[0], b[1]) + _syllables_alike(a[1], b[2])) / 2
     if len(a) == len(b):
-        orders = _ORDERS if len(a) == 3 and "*" not in a + b else (((*range(len(a)),), 0.0),)
+        if "*" in a + b:  # what is hidden is no typing slip: the rest must be the same
+            alike = [_syllables_alike(x, y) for x, y in zip(a, b)]
+            return sum(alike) / len(alike) - (0.1 if any(s < 1 for s, x, y in zip(alike, a, b) if "*" not in (x, y)) else 0.0)
+        orders = _ORDERS if len(a) == 3 else (((*range(len(a)),), 0.0),)
         return max(sum(_syllables_alike(x, b[i]) for x, i in zip(a, order)) / len(a) - cost for order, cost in orders)
     if len(b) == len(a) + 1:  # a syllable too many
         return max((sum(map(_syllables_alike, a, b[:i] + b[i + 1 :])) / len(a) for i in range(len(b))), default=0.0) - 0.06
@@ -224,7 +230,8 @@ def _latin_hangul(tokens: list[str], h: str) -> float:
         if sur < 0.6 or not rest:
             continue
         if all(len(x) == 1 for x in rest):
-            g = 0.86 if len(rest) == len(initials) and all(x in i for x, i in zip(rest, initials)) else 0.0
+            fits = len(rest) <= len(initials) and all(x in i for x, i in zip(rest, initials))
+            g = 0.0 if not fits else 0.86 if len(rest) == len(initials) else 0.7
         else:
             g = _edits(_sound("".join(rest)), "".join(given))
             g = max(g, 0.97 if _sound("".join(rest[::-1])) == "".join(given) else 0.0)
@@ -250,9 +257,9 @@ def similarity(a: Name, b: Name) -> float:
     return max((one + _monge_elkan(y, x, _latin_tokens)) / 2, whole)
 
 
-def bands(least: float = LEAST_JACCARD, recall: float = RECALL) -> int:
-    """Bands of one row each: the collision curve 1 - (1 - s)**b reaches the recall at the least similarity."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - least))
+def bands(least: float = LEAST_JACCARD, recall: float = RECALL, rows: int = ROWS) -> int:
+    """Bands of `rows` hashes each: the collision curve 1 - (1 - s**rows)**b reaches the recall at the least similarity."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - least**rows))
 
 
 _rnd = np.random.default_rng(20240101)
@@ -266,16 +273,25 @@ def _hashes(gram: str, n: int) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def band_hashes(grams: set[str], n: int, rows: int = ROWS) -> np.ndarray:
+    """A hash for each of n bands, of `rows` min-hashes each; none without grams."""
+    if not grams:
+        return np.zeros(0, np.int64)
+    least = np.min([_hashes(g, n * rows) for g in grams], axis=0).reshape(n, rows)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(rows):
+            out = (out ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
 def _signatures(n: int):
     """For mapInPandas over rows with `name`: the same rows with `bands`, an array of n hashes (empty if nothing is read)."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for name in frame["name"]:
-                grams = Name(name).grams()
-                out.append(np.min([_hashes(g, n) for g in grams], axis=0).view(np.int64) if grams else np.zeros(0, np.int64))
-            frame["bands"] = out
+            frame["bands"] = [band_hashes(Name(name).grams(), n) for name in frame["name"]]
             yield frame
 
     return sign
@@ -330,11 +346,18 @@ def register(details: DataFrame, results: DataFrame) -> DataFrame:
     return own.unionByName(seen.where(whole).select("detail_id", "name", "course")).distinct()
 
 
+@F.pandas_udf(T.BooleanType())
+def _whole(names: pd.Series) -> pd.Series:
+    """Whether a spelling has all parts of a name: no syllable hidden, no initials, nothing left out."""
+    read = [Name(x) for x in names]
+    return pd.Series([("*" not in n.hangul and len(n.hangul) >= 3) if n.hangul else len(n.latin) >= 2 and min(map(len, n.latin)) >= 2 for n in read])
+
+
 def persons(known: DataFrame) -> DataFrame:
     """detail_id, person: star clustering of the register's rows; person is the least detail_id of the star's rows.
 
-    Rows with similar names that share a course are linked. In turn the row with most links (then the least detail_id)
-    among those not taken becomes a centre and takes its free neighbours, in rounds: a row is a centre once none of its
+    Rows with similar names that share a course are linked. In turn the row with most links (then the least detail_id),
+    whole names before names with parts hidden, shortened or left out, which may mean several people, among those not taken becomes a centre and takes its free neighbours, in rounds: a row is a centre once none of its
     free neighbours comes before it.
     """
     taught = known.where("course is not null")
@@ -342,7 +365,10 @@ def persons(known: DataFrame) -> DataFrame:
     pairs = _scores(_meeting(items, taught, ["other"]).where("other <> detail_id"))
     links = materialize(pairs.select(F.col("other").alias("a"), F.col("detail_id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score")))
     degree = links.groupBy("a").agg(F.sum("score").alias("degree"))
-    nodes = known.select(F.col("detail_id").alias("a")).distinct().join(degree, "a", "left").na.fill(0.0, ["degree"])
+    whole = known.select("detail_id", _whole("name").alias("whole")).groupBy(F.col("detail_id").alias("a")).agg(F.max("whole").alias("whole"))
+    # whole names come first: no sum of scores reaches the number of links
+    nodes = whole.join(degree, "a", "left").na.fill(0.0, ["degree"])
+    nodes = nodes.select("a", (F.col("degree") + F.when(F.col("whole"), float(1 << 40)).otherwise(0.0)).alias("degree"))
     free = materialize(nodes)
     stars: DataFrame | None = None
     while free.head(1):
@@ -394,18 +420,19 @@ def linked(items: DataFrame, known: DataFrame, people: DataFrame) -> DataFrame:
     where they need to be nearly the same.
     """
     items = items.select("name", "course").distinct()
-    foreign = materialize(items.where("course is not null").join(F.broadcast(known.select("course").distinct()), "course", "left_anti"))
+    groups = course_groups(known)
+    small = lambda rows: F.broadcast(rows) if len(groups) <= BROADCAST_ROWS else rows
+    foreign = materialize(items.where("course is not null").join(small(known.where("course is not null").select("course").distinct()), "course", "left_anti"))
     anywhere = foreign.select("name", F.lit(None).cast("string").alias("course"))
     pairs = materialize(_scores(_meeting(items.unionByName(anywhere).distinct(), known, [])))
     first = materialize(_best(pairs.where(F.col("course").isNotNull() | (F.col("score") >= ALIKE_ANYWHERE)), people, "course"))
     first = first.unionByName(first.where("course is null").select("name", "person").join(foreign, "name").select("name", "course", "person"))
-    groups = course_groups(known)
     if not groups:
         return first
     table = items.sparkSession.createDataFrame(sorted(groups.items()), "course string, group string")
     tried = items.where("course is not null").join(pairs.select("name", "course").distinct(), ["name", "course"], "left_anti")
-    wide = known.join(F.broadcast(table), "course").select("detail_id", "name", F.col("group").alias("course")).distinct()
-    left = tried.join(F.broadcast(table), "course")
+    wide = known.join(small(table), "course").select("detail_id", "name", F.col("group").alias("course")).distinct()
+    left = tried.join(small(table), "course")
     again = _scores(_meeting(left.select("name", F.col("group").alias("course")).distinct(), wide, [])).where(F.col("score") >= ALIKE_IN_GROUP)
     second = _best(again, people, "course").withColumnRenamed("course", "group")
     return first.unionByName(left.join(second, ["name", "group"]).select("name", "course", "person"))
@@ -416,19 +443,26 @@ _NO_NAME = r"(?i)\(영상 *\d+\)|no\.\s*\d+|vod-\d+|#\d+|\d{2,4}학년도|[12]
 
 
 def _title_names(courses: list[str]):
-    known = sorted(((c, unicodedata.normalize("NFKC", visual_form(c)).casefold()) for c in courses), key=lambda x: (-len(x[1]), x[0]))
-
     def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()  # all courses at once, however many
+        for c in courses:
+            key = unicodedata.normalize("NFKC", visual_form(c)).casefold()
+            if key and (key not in found or found.get(key)[2] > c):
+                found.add_word(key, (len(key), key, c))
+        if len(found):
+            found.make_automaton()
         for frame in frames:
             out = []
             for video, title in zip(frame["video_id"], frame["title"]):
                 t = unicodedata.normalize("NFKC", visual_form(title))
                 folded, course = t.casefold(), None
-                for c, key in known:
+                hits = [x for _, x in found.iter(folded)] if len(found) and len(folded) == len(t) else []
+                if hits:
+                    size, key, course = min(hits, key=lambda x: (-x[0], x[2]))
                     at = folded.find(key)
-                    if at >= 0 and len(folded) == len(t):
-                        course, t = c, t[:at] + " | " + t[at + len(key) :]
-                        break
+                    t = t[:at] + " | " + t[at + size :]
                 rest = re.sub(_NO_NAME, " | ", t)
                 rest = re.sub(r"[()\[\]_]| - |^\s*-|-\s*$", " | ", rest) if "쌤)" not in rest else re.sub(r"[\[\]_]| - |^\s*-|-\s*$", " | ", rest)
                 for chunk in re.split(r"[|/]", rest):

@@ -138,10 +138,10 @@ def contents(packed: DataFrame) -> DataFrame:
 
 def invariants(packed: DataFrame, capacity: int, waste: float = 0.02) -> DataFrame:
     """One row: texts packed, containers over the capacity, containers whose items don't add up to `used`, texts whose pieces
-    don't cover their tokens exactly once, and whether at most `waste` of the space is unused (of more than 50 containers)."""
+    don't cover their tokens exactly once, and whether at most `waste` of the space is unused, the emptiest container aside."""
     packed = materialize(packed)
     items = F.aggregate("items", F.lit(0), lambda a, x: a + x["n_tokens"])
-    boxes = packed.agg(F.count_if(F.col("used") > capacity).alias("over_capacity"), F.count_if(items != F.col("used")).alias("wrong_sums"), (F.sum("unused") <= waste * capacity * F.greatest(F.count("*"), F.lit(50))).alias("well_filled"))
+    boxes = packed.agg(F.count_if(F.col("used") > capacity).alias("over_capacity"), F.count_if(items != F.col("used")).alias("wrong_sums"), (F.sum("unused") - F.max("unused") <= waste * capacity * F.count("*")).alias("well_filled"))
     pieces = contents(packed).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("k"), F.max("piece_no").alias("last"), F.countDistinct("piece_no").alias("different"))
     broken = (F.col("n") != F.col("end")) | (F.col("k") != F.col("last") + 1) | (F.col("k") != F.col("different"))
     texts = pieces.agg(F.count("*").alias("texts"), F.count_if(broken).alias("broken_texts"))
