@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrain.storage import materialize
+from reelgrain.storage import drop, materialize
 
 #: Edges that one cell may hold on average; the grid's side follows from the number of edges.
 EDGES_PER_CELL = 500_000
@@ -78,7 +78,8 @@ def connected_groups(links: DataFrame, source: str, target: str, edges_per_cell:
         reps = materialize(reps.select("v", parent, "reps"))
         parents.append(reps.select("v", "parent"))
         others = reps.where(F.size("reps") > 1).select(F.col("reps")[0].alias("u"), F.explode(F.slice("reps", 2, n or 1)).alias("v"))
-        edges = materialize(others.distinct())
+        done, edges = edges, materialize(others.distinct())
+        drop(done)
     labels = parents.pop().select(F.col("v").alias("vertex"), F.col("parent").alias("group"))
     while parents:
         known = labels.select(F.col("vertex").alias("parent"), "group")

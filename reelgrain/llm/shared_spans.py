@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from reelgrain.llm.records import blocks, placed_segments
 from reelgrain.llm.rolling import Hashes, code_points, leftmost_minima
-from reelgrain.storage import materialize
+from reelgrain.storage import drop, materialize
 
 BLOCK_CHARS = 8192
 GRAM_CHARS = 64
@@ -124,12 +124,13 @@ def shared_intervals(captions: DataFrame, min_chars: int = 200, gram: int = GRAM
     contents = found.groupBy(*same, "several").agg(F.min("vkey").alias("lo"), F.max("vkey").alias("hi"), rep)
     contents = materialize(contents.where("lo < hi or several"))
     whole = windows.join(contents.where("lo < hi").select(*same), same, "left_semi")
-    whole = whole.select("video_id", F.col("s0").alias("a"), (F.col("s0") + F.col("n") + overlap).alias("b"))
+    whole = materialize(whole.select("video_id", F.col("s0").alias("a"), (F.col("s0") + F.col("n") + overlap).alias("b")))
 
     # borders: all windows of contents that one video alone has, and one window of each content common to several
     alone = windows.join(contents.where("lo = hi").select(*same, "lo", "hi"), same).select("video_id", "s0", "n", "lo", "hi")
     common = contents.where("lo < hi and several").select("rep.video_id", "rep.s0", "n", "lo", "hi")
     border = materialize(alone.unionByName(common))
+    drop(windows, contents)
     in_block = F.floor(F.col("s0") / block).cast("int").alias("block")
     listed = border.groupBy("video_id", in_block).agg(F.collect_list(F.struct("s0", "n", "lo", "hi")).alias("windows"))
     ids = border.select("video_id").distinct()
@@ -137,6 +138,7 @@ def shared_intervals(captions: DataFrame, min_chars: int = 200, gram: int = GRAM
     again = blocks(placed_segments(captions.join(ids, "video_id", "left_semi")), block, overlap)
     runs = again.join(listed, ["video_id", "block"]).mapInPandas(_runs(min_chars, block), "w1 long, w2 long, lo long, hi long, video_id string, x long")
     runs = materialize(runs)
+    drop(border)
     twice = runs.groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("w1", "w2")
     parts = runs.where("lo = hi").join(twice, ["w1", "w2"], "left_semi")
     parts = parts.select("video_id", F.col("x").alias("a"), (F.col("x") + min_chars).alias("b"))
