@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: characters that the phrase form replaces by a blank.
-PHRASE_MARKS = "。、，．・「」『』'‥…—–·《》〈〉【】「」〔〕,.!?;:()[]{}-\"'`~@#$%^&*+=|\\/<>"
+PHRASE_MARKS = "。、，．・「」『』''‥…—–·〈〉《》【】｢｣〔〕,.!?;:()[]{}-—–…\"'`~@#$%^&*+=|\\/<>"
 # Fixed value: characters that the transcript form deletes.
-TRANSCRIPT_MARKS = ".,?!~\"'`。，！？～…‥、"
+TRANSCRIPT_MARKS = ".。,，?？!！~～…‥\"'`、"
 # Meta marks in transcripts, and Korean fillers.
-META = r"(?s)\[.*?\]|\(.*?\)|<.*?>|\*.*?\*|♪.*?♪"
+META = r"(?s)\[.*?\]|\(.*?\)|<.*?>|\*.*?\*|♪.*?♪|♪"
 FILLERS = r"(?U)\b음+[~ㅡ]*\b|\b어+\b|\b에+\b|\b아+\b|\b그러니까\b|\b그래서\b"
 
 
@@ -143,3 +144,39 @@ def category(title: Column) -> Column:
     for k in SUPPLEMENTARY:
         hit = hit | F.contains(title, F.lit(k))
     return F.when(hit, "supplementary").otherwise("regular")
+
+
+class _Body(HTMLParser):
+    """What stands between the body tags: tags, attributes and text; references resolved, comments left out."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.inside, self.parts = False, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self.inside = True
+        elif self.inside:
+            self.parts.append("<" + tag + "".join(f" {k}" if v is None else f' {k}="{v}"' for k, v in attrs) + ">")
+
+    def handle_endtag(self, tag):
+        if tag == "body":
+            self.inside = False
+        elif self.inside:
+            self.parts.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def body_of(page: str) -> str:
+    reader = _Body()
+    reader.feed(page)
+    return "".join(reader.parts)
+
+
+@F.pandas_udf(T.StringType())
+def html_body(pages: pd.Series) -> pd.Series:
+    """The inner HTML of each page's body; empty where there is none."""
+    return pages.map(body_of, na_action="ignore")

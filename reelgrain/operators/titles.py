@@ -48,17 +48,17 @@ def fallback_names(title: Column) -> Column:
     return F.when(F.size(names(_IN_PARENTHESES)) > 0, names(_IN_PARENTHESES)).otherwise(names(_AT_START))
 
 
-def parse(titles: DataFrame) -> DataFrame:
+def parse(titles: DataFrame, *keep: str) -> DataFrame:
     """video_id, matched_pattern, professor (joined by |), course, year, semester, week, session, department, category, parse_error.
 
     The number of the matching pattern is found once; each field is then one extraction chosen by it. Null and blank titles
-    and titles that no pattern matches are parse errors; of the latter, each field but the course is looked for by itself.
+    and titles that no pattern matches are parse errors; of the latter, each field but the course is looked for by itself. Columns to `keep` come last.
     """
     t = F.coalesce("title", F.lit(""))
     which = F.lit(None).cast("int")
     for i, (_, pattern, _) in reversed(list(enumerate(PATTERNS))):
         which = F.when(t.rlike("(?U)" + pattern), F.lit(i)).otherwise(which)
-    rows = titles.select("video_id", t.alias("t"), which.alias("which"))
+    rows = titles.select("video_id", *keep, t.alias("t"), which.alias("which"))
 
     def field(name: str) -> Column:
         out = F.when(F.col("which").isNull(), F.regexp_extract("t", "(?U)" + FALLBACK[name], 1)) if name in FALLBACK else F.lit(None).cast("string")
@@ -75,7 +75,7 @@ def parse(titles: DataFrame) -> DataFrame:
     return rows.select(
         "video_id", names.alias("matched_pattern"), F.concat_ws("|", professors).alias("professor"), field("course").alias("course"),
         F.coalesce(number("year"), pair_year).alias("year"), F.coalesce(number("semester"), F.regexp_extract(pair, r"\d+-([12])", 1).try_cast("int")).alias("semester"),
-        number("week").alias("week"), number("session").alias("session"), field("department").alias("department"), T.category(F.col("t")).alias("category"), F.col("which").isNull().alias("parse_error"),
+        number("week").alias("week"), number("session").alias("session"), field("department").alias("department"), T.category(F.col("t")).alias("category"), F.col("which").isNull().alias("parse_error"), *keep,
     )
 
 
@@ -85,6 +85,16 @@ def match_key(title: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"(?U)[\s\-_.,()\[\]?!~]+", ""))
 
 
+def stem(file: Column) -> Column:
+    """A file name without its ending."""
+    return F.regexp_replace(file, r"\.[^.]+$", "")
+
+
+def keys_match(file_key: Column, title_key: Column) -> Column:
+    """Whether the key of a file name is that of a title, or its beginning where the name was cut, at 50 characters or more."""
+    return (file_key == title_key) | ((F.length(file_key) >= 50) & F.startswith(title_key, file_key))
+
+
 def near_names(names: DataFrame, most: int = 2) -> DataFrame:
     """name_a, name_b, distance: distinct names within 1 to `most` (1 or 2) edits of each other.
 

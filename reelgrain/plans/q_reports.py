@@ -8,83 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrain.functions import text as T
-from reelgrain.operators.facts import parsed_facts, unique_videos
 from reelgrain.operators import titles as titles_op
+from reelgrain.plans import inputs as I
+from reelgrain.plans.inputs import facts, joined, owned, videos
 from reelgrain.plans.registry import Registry
 from reelgrain.storage import materialize, table
 
 QUERIES = Registry()
 add = QUERIES.add
-
-_P = """p AS (SELECT source_video_id AS video_id, professor, course, week, session, year_from AS year FROM comparison_results QUALIFY row_number() OVER (PARTITION BY source_video_id ORDER BY id DESC)=1),
-v AS (SELECT DISTINCT video_id, channel_id, title, epoch_us(published_at) AS us, published_at AT TIME ZONE 'UTC' AS ts, duration_seconds, view_count, like_count, comment_count, privacy_status FROM videos)"""
+_P = I.FACTS
 WEEKS = 16
 
 
-def videos(spark, d) -> DataFrame:
-    return unique_videos(table(spark, d, "videos"))
-
-
-def facts(spark, d) -> DataFrame:
-    return parsed_facts(table(spark, d, "comparison_results"))
-
-
-def joined(spark, d) -> DataFrame:
-    return facts(spark, d).join(videos(spark, d).select("video_id", "duration_seconds", "view_count", "published_at"), "video_id")
-
-
 @add("dept_overview", f"WITH {_P} SELECT count(*) AS n, count(DISTINCT p.professor) AS professors, count(DISTINCT course) AS courses, round(sum(duration_seconds)/3600.0,4) AS hours, sum(view_count)::BIGINT AS views, round(avg(CASE WHEN p.professor IS NULL THEN 0 ELSE 1 END),6) AS parsed FROM p JOIN v USING (video_id)")
 def dept_overview(spark, d):
     return joined(spark, d).agg(F.count("*").alias("n"), F.countDistinct("professor").alias("professors"), F.countDistinct("course").alias("courses"), F.round(F.sum("duration_seconds") / 3600.0, 4).alias("hours"), F.sum("view_count").alias("views"), F.round(F.avg(F.when(F.col("professor").isNull(), 0).otherwise(1)), 6).alias("parsed"))
 
 
-@add("prof_detail", f"""WITH {_P} SELECT professor, count(*) AS n, array_to_string(list_sort(list(DISTINCT course)),'|') AS courses, round(count(DISTINCT week)/16.0,6) AS coverage, round(avg(duration_seconds)/60.0,4) AS minutes,
-sum(view_count)::BIGINT AS views, round(avg(view_count),4) AS avg_views FROM p JOIN v USING (video_id) WHERE professor IS NOT NULL GROUP BY 1""")
-def prof_detail(spark, d):
-    return joined(spark, d).where("professor is not null").groupBy("professor").agg(F.count("*").alias("n"), F.concat_ws("|", F.sort_array(F.collect_set("course"))).alias("courses"), F.round(F.countDistinct("week") / float(WEEKS), 6).alias("coverage"), F.round(F.avg("duration_seconds") / 60.0, 4).alias("minutes"), F.sum("view_count").alias("views"), F.round(F.avg("view_count"), 4).alias("avg_views"))
-
-
-@add("session_completeness", f"WITH {_P}, w AS (SELECT course, week, count(DISTINCT session) AS s FROM p WHERE week IS NOT NULL GROUP BY 1,2), m AS (SELECT course, max(s) AS m FROM w GROUP BY 1) SELECT course, round(avg(s*1.0/m),6) AS completeness FROM w JOIN m USING (course) GROUP BY 1")
-def session_completeness(spark, d):
-    weeks = facts(spark, d).where("week is not null").groupBy("course", "week").agg(F.countDistinct("session").alias("s"))
-    most = F.max("s").over(Window.partitionBy("course"))
-    return weeks.withColumn("share", F.col("s") / most).groupBy("course").agg(F.round(F.avg("share"), 6).alias("completeness"))
-
-
-@add("compliance", f"""WITH {_P}, g AS (SELECT course, w AS week FROM (SELECT DISTINCT course FROM p WHERE course IS NOT NULL), range(1,17) r(w)),
-u AS (SELECT course, week, bool_or(date_part('doy', ts) > week*7+60) AS late FROM p JOIN v USING (video_id) GROUP BY 1,2)
-SELECT g.course, g.week::INT AS week, CASE WHEN u.course IS NULL THEN 'missing' WHEN u.late THEN 'late' ELSE 'uploaded' END AS status FROM g LEFT JOIN u ON u.course=g.course AND u.week=g.week""")
-def compliance(spark, d):
-    rows = joined(spark, d).where("course is not null")
-    late = F.bool_or(F.dayofyear("published_at") > F.col("week") * 7 + 60).alias("late")
-    grid = rows.select("course").distinct().withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(WEEKS))))
-    by = rows.groupBy("course", "week").agg(late, F.lit(True).alias("any"))
-    return grid.join(by, ["course", "week"], "left").select("course", "week", F.when(F.col("any").isNull(), "missing").when(F.col("late"), "late").otherwise("uploaded").alias("status"))
-
-
-@add("heat_encode", f"WITH {_P} SELECT course, week, max(CASE WHEN date_part('doy', ts) > week*7+60 THEN 0.5 ELSE 1.0 END)::DOUBLE AS heat FROM p JOIN v USING (video_id) WHERE course IS NOT NULL GROUP BY 1,2")
-def heat_encode(spark, d):
-    label = F.when(F.dayofyear("published_at") > F.col("week") * 7 + 60, "late").otherwise("uploaded")
-    code = F.create_map(*[F.lit(x) for x in ("uploaded", 1.0, "late", 0.5, "missing", 0.0)])
-    return joined(spark, d).where("course is not null").groupBy("course", "week").agg(F.max(code[label]).alias("heat"))
-
-
-@add("rankings", "WITH v AS (SELECT DISTINCT video_id, channel_id, view_count, like_count, comment_count FROM videos) SELECT video_id, row_number() OVER (PARTITION BY channel_id ORDER BY view_count DESC NULLS LAST, video_id) AS by_views, row_number() OVER (PARTITION BY channel_id ORDER BY round((like_count+comment_count)*1.0e0/nullif(view_count,0),4) DESC NULLS LAST, video_id) AS by_engagement FROM v")
-def rankings(spark, d):
-    rate = F.round(F.try_divide((F.col("like_count") + F.col("comment_count")).cast("double"), F.col("view_count").cast("double")), 4)
-    w = lambda c: Window.partitionBy("channel_id").orderBy(c.desc_nulls_last(), "video_id")
-    return videos(spark, d).select("video_id", F.row_number().over(w(F.col("view_count"))).cast("long").alias("by_views"), F.row_number().over(w(rate)).cast("long").alias("by_engagement"))
-
-
-@add("compare_videos_optimal", """WITH v AS (SELECT DISTINCT video_id, channel_id, view_count, duration_seconds FROM videos), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY view_count DESC NULLS LAST, video_id) AS rn, count(*) OVER (PARTITION BY channel_id) AS n FROM v)
-SELECT channel_id, min(duration_seconds) AS lo, max(duration_seconds) AS hi, count(*) AS top FROM r WHERE rn <= greatest(1, n//2) GROUP BY 1""")
-def compare_videos_optimal(spark, d):
-    w = Window.partitionBy("channel_id")
-    rows = videos(spark, d).select("channel_id", "video_id", "view_count", "duration_seconds")
-    rows = rows.withColumns({"rn": F.row_number().over(w.orderBy(F.desc_nulls_last("view_count"), "video_id")), "n": F.count("*").over(w)})
-    return rows.where("rn <= greatest(1, n div 2)").groupBy("channel_id").agg(F.min("duration_seconds").alias("lo"), F.max("duration_seconds").alias("hi"), F.count("*").alias("top"))
-
-
 @add("compare_videos_tags", "WITH v AS (SELECT DISTINCT video_id, tags, view_count FROM videos) SELECT tag, count(*) AS n, round(avg(view_count),4) AS avg_views, sum(view_count)::BIGINT AS views FROM (SELECT unnest(tags) AS tag, view_count FROM v) GROUP BY 1")
 def compare_videos_tags(spark, d):
     rows = videos(spark, d).select(F.explode("tags").alias("tag"), "view_count")
@@ -96,31 +36,11 @@ def channel_insights(spark, d):
     return videos(spark, d).groupBy("channel_id").agg(F.round(F.avg("view_count"), 4).alias("avg_views"), F.round(F.avg(F.when(F.col("duration_seconds") > 0, F.col("duration_seconds"))), 4).alias("avg_duration"))
 
 
-def _suggestions(rows: DataFrame) -> DataFrame:
-    rate = F.try_divide(F.col("like_count").cast("double"), F.col("view_count").cast("double"))
-    rules = [("too_long", F.col("duration_seconds") > 3600), ("long", (F.col("duration_seconds") > 2400) & (F.col("duration_seconds") <= 3600)), ("low_engagement", (F.col("view_count") > 100) & (rate < 0.01)), ("few_comments", (F.col("view_count") > 100) & (F.col("comment_count") == 0)), ("very_low_engagement", rate < 0.005)]
-    return rows.select("video_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))).alias("rule"))
-
-
-@add("suggestions", """WITH v AS (SELECT DISTINCT video_id, duration_seconds, view_count, like_count, comment_count FROM videos)
-SELECT video_id, 'too_long' AS rule FROM v WHERE duration_seconds > 3600 UNION ALL SELECT video_id, 'long' FROM v WHERE duration_seconds > 2400 AND duration_seconds <= 3600
-UNION ALL SELECT video_id, 'low_engagement' FROM v WHERE view_count > 100 AND like_count*1.0e0/view_count < 0.01 UNION ALL SELECT video_id,'few_comments' FROM v WHERE view_count > 100 AND comment_count = 0
-UNION ALL SELECT video_id, 'very_low_engagement' FROM v WHERE view_count > 0 AND like_count*1.0e0/view_count < 0.005""")
-def suggestions(spark, d):
-    return _suggestions(videos(spark, d))
-
-
 @add("bundle_summary", "WITH v AS (SELECT DISTINCT video_id, channel_id, duration_seconds, view_count, like_count FROM videos) SELECT channel_id, count(*) AS n, (sum(duration_seconds)//60)::BIGINT AS minutes, (sum(view_count)//count(*))::BIGINT AS avg_views, sum(like_count)::BIGINT AS likes FROM v GROUP BY 1")
 def bundle_summary(spark, d):
     return videos(spark, d).groupBy("channel_id").agg(F.count("*").alias("n"), F.expr("sum(duration_seconds) div 60").alias("minutes"), F.expr("sum(view_count) div count(*)").alias("avg_views"), F.sum("like_count").alias("likes"))
 
 
-@add("bundle_channels", f"WITH {_P} SELECT v.channel_id, coalesce(p.professor,'') AS professor, count(*) AS n, array_to_string(list_sort(list(DISTINCT p.course)),'|') AS courses FROM v JOIN p USING (video_id) GROUP BY 1,2")
-def bundle_channels(spark, d):
-    rows = facts(spark, d).join(videos(spark, d).select("video_id", "channel_id"), "video_id")
-    return rows.groupBy("channel_id", F.coalesce("professor", F.lit("")).alias("professor")).agg(F.count("*").alias("n"), F.concat_ws("|", F.sort_array(F.collect_set("course"))).alias("courses"))
-
-
 @add("title_contains", "SELECT DISTINCT video_id FROM videos WHERE contains(title, '강종인')")
 def title_contains(spark, d):
     return videos(spark, d).where(F.contains("title", F.lit("강종인"))).select("video_id")
@@ -186,183 +106,287 @@ def upload_year(spark, d):
     return videos(spark, d).select("video_id", F.substring(F.date_format("published_at", "yyyy-MM-dd"), 1, 4).try_cast("int").alias("year"))
 
 
-@add("parse_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS parsed, count(*) FILTER (WHERE NOT ok) AS failed, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END),6) AS rate FROM (SELECT regexp_matches(coalesce(title,''),'[0-9]+주차') AS ok FROM sample_titles)")
-def parse_stats(spark, d):
-    ok = F.coalesce("title", F.lit("")).rlike("[0-9]+주차")
-    return table(spark, d, "sample_titles").agg(F.count("*").alias("total"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("failed"), F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 6).alias("rate"))
 
 
-@add("parse_stats_parser")
-def parse_stats_parser(spark, d):
-    """parse_stats by the outcome of the parser; the SQL of parse_stats takes any week number for success."""
-    rows = titles_op.parse(table(spark, d, "sample_titles"))
-    return rows.agg(F.count("*").alias("total"), F.count_if(~F.col("parse_error")).alias("parsed"), F.count_if("parse_error").alias("failed"), F.round(F.avg(F.when(F.col("parse_error"), 0.0).otherwise(1.0)), 6).alias("rate"))
+@add("levenshtein", "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nx FROM part) SELECT p_partkey, levenshtein(p_name, nx)::INT AS distance FROM n WHERE nx IS NOT NULL")
+def levenshtein(spark, d):
+    after = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", "p_name", after.alias("nx")).where("nx is not null").select("p_partkey", F.levenshtein("p_name", "nx").alias("distance"))
 
 
-@add("title_parse")
-def title_parse(spark, d):
-    return titles_op.parse(table(spark, d, "sample_titles"))
+# All nine rules, at the limits of the survey. RULES has those that the SQL twins of findings_union and findings_ranked hold.
 
 
-@add("title_parse_latin", """SELECT video_id, regexp_extract(title,'^\\[([^\\]]+)\\] (.+) - (.+) - Week ([0-9]+) Session ([0-9]+)',1) AS department, regexp_extract(title,'^\\[([^\\]]+)\\] (.+) - (.+) - Week ([0-9]+) Session ([0-9]+)',2) AS course,
-try_cast(regexp_extract(title,'^\\[([^\\]]+)\\] (.+) - (.+) - Week ([0-9]+) Session ([0-9]+)',4) AS INT) AS week FROM sample_titles WHERE regexp_matches(title,'^\\[([^\\]]+)\\] (.+) - (.+) - Week ([0-9]+) Session ([0-9]+)')""")
-def title_parse_latin(spark, d):
-    pattern = r"^\[([^\]]+)\] (.+) - (.+) - Week ([0-9]+) Session ([0-9]+)"
-    rows = table(spark, d, "sample_titles").where(F.col("title").rlike(pattern))
-    part = lambda i: F.regexp_extract("title", pattern, i)
-    return rows.select("video_id", part(1).alias("department"), part(2).alias("course"), part(4).try_cast("int").alias("week"))
+# professors and weeks ------------------------------------------------------------------------------------------------
 
 
-@add("match_key")
-def match_key(spark, d):
-    return table(spark, d, "sample_titles").select("video_id", titles_op.match_key(F.col("title")).alias("match_key"))
+@add("prof_detail", f"""WITH {_P}, g AS (SELECT f.*, duration_seconds, view_count FROM f JOIN v USING (video_id)), w AS (SELECT name, week, count(DISTINCT session) AS k FROM g WHERE week IS NOT NULL AND session IS NOT NULL GROUP BY 1,2), c AS (SELECT name, avg(k*1.0e0/m) AS c FROM w JOIN (SELECT name, max(k) AS m FROM w GROUP BY 1) USING (name) GROUP BY 1)
+SELECT name AS professor, count(*) AS n, array_to_string(list_sort(list(DISTINCT course)),'|') AS courses, round(count(DISTINCT week)/16.0e0,6) AS coverage, round(coalesce(any_value(c),0),6) AS completeness, round(avg(duration_seconds)/60.0e0,4) AS minutes,
+sum(view_count)::BIGINT AS views, round(avg(view_count),4) AS avg_views FROM g LEFT JOIN c USING (name) GROUP BY 1""")
+def prof_detail(spark, d):
+    g = owned(spark, d).join(videos(spark, d).select("video_id", "duration_seconds", "view_count"), "video_id")
+    weeks = g.where("week is not null and session is not null").groupBy("name", "week").agg(F.countDistinct("session").alias("k"))
+    # the mean of k over the greatest k is the mean of k over that greatest
+    whole = weeks.groupBy("name").agg((F.avg("k") / F.max("k")).alias("c"))
+    by = g.groupBy("name").agg(F.count("*").alias("n"), F.concat_ws("|", F.sort_array(F.collect_set("course"))).alias("courses"), F.round(F.countDistinct("week") / float(WEEKS), 6).alias("coverage"), F.round(F.avg("duration_seconds") / 60.0, 4).alias("minutes"), F.sum("view_count").alias("views"), F.round(F.avg("view_count"), 4).alias("avg_views"))
+    return by.join(whole, "name", "left").select(F.col("name").alias("professor"), "n", "courses", "coverage", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("completeness"), "minutes", "views", "avg_views")
 
 
-@add("title_match", "WITH x AS (SELECT DISTINCT video_id, title, coalesce(title,'') || '.mp4' AS file FROM videos), k AS (SELECT *, lower(regexp_replace(regexp_replace(file,'\\.[^.]+$',''),'[ \\t\\-_.,()\\[\\]?!~]+','','g')) AS a, lower(regexp_replace(coalesce(title,''),'[ \\t\\-_.,()\\[\\]?!~]+','','g')) AS b FROM x) SELECT video_id, regexp_replace(file,'\\.[^.]+$','') = title AS exact, a = b OR (length(a) >= 50 AND starts_with(b,a)) AS normalised FROM k WHERE title IS NOT NULL")
-def title_match(spark, d):
-    rows = videos(spark, d).where("title is not null").withColumn("file", F.concat("title", F.lit(".mp4")))
-    stem = F.regexp_replace("file", r"\.[^.]+$", "")
-    strip = lambda c: F.lower(F.regexp_replace(c, r"[ \t\-_.,()\[\]?!~]+", ""))
-    a, b = strip(stem), strip(F.col("title"))
-    return rows.select("video_id", (stem == F.col("title")).alias("exact"), ((a == b) | ((F.length(a) >= 50) & F.startswith(b, a))).alias("normalised"))
+@add("session_completeness", f"WITH {_P}, w AS (SELECT name, week, count(DISTINCT session) AS s FROM f WHERE week IS NOT NULL AND session IS NOT NULL GROUP BY 1,2), m AS (SELECT name, max(s) AS m FROM w GROUP BY 1) SELECT name AS professor, round(avg(s*1.0e0/m),6) AS completeness FROM w JOIN m USING (name) GROUP BY 1")
+def session_completeness(spark, d):
+    weeks = owned(spark, d).where("week is not null and session is not null").groupBy("name", "week").agg(F.countDistinct("session").alias("s"))
+    return weeks.groupBy(F.col("name").alias("professor")).agg(F.round(F.avg("s") / F.max("s"), 6).alias("completeness"))
 
 
-@add("filter_desc", "SELECT DISTINCT channel_id, concat_ws(' | ', channel_title, CASE WHEN privacy_status IS NOT NULL THEN 'status=' || privacy_status END) AS description FROM channel_metadata")
-def filter_desc(spark, d):
-    return table(spark, d, "channel_metadata").select("channel_id", F.concat_ws(" | ", "channel_title", F.when(F.col("privacy_status").isNotNull(), F.concat(F.lit("status="), "privacy_status"))).alias("description")).distinct()
+# The calendar of one year: week w begins 7 * (w - 1) days after the first of March.
+_YEAR, _TERM = 2022, "2022-03-01"
+_COMPLIANCE = f"""{_P}, u AS (SELECT name, week, bool_or(ts > DATE '{_TERM}' + ((week-1)*7)::INT) AS late FROM f JOIN v USING (video_id) WHERE year = {_YEAR} AND week IS NOT NULL GROUP BY 1,2),
+g AS (SELECT name, w AS week FROM (SELECT DISTINCT name FROM f SEMI JOIN v USING (video_id) WHERE year = {_YEAR}), range(1,17) r(w)),
+st AS (SELECT g.name AS professor, g.week::INT AS week, CASE WHEN u.name IS NULL THEN 'missing' WHEN u.late THEN 'late' ELSE 'uploaded' END AS status FROM g LEFT JOIN u ON u.name=g.name AND u.week=g.week)"""
 
 
-# validation rules ------------------------------------------------------------------------------------------------
+def _statuses(spark, d) -> DataFrame:
+    """professor, week, status of every week of the calendar: late if any of the week's videos came after its begin."""
+    rows = owned(spark, d).where(F.col("year") == _YEAR).join(videos(spark, d).select("video_id", "published_at"), "video_id")
+    begin = F.date_add(F.lit(_TERM).cast("date"), (F.col("week") - 1) * 7).cast("timestamp")
+    by = rows.where("week is not null").groupBy("name", "week").agg(F.bool_or(F.col("published_at") > begin).alias("late"), F.lit(True).alias("any"))
+    grid = rows.select("name").distinct().withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(WEEKS))))
+    status = F.when(F.col("any").isNull(), "missing").when(F.col("late"), "late").otherwise("uploaded")
+    return grid.join(by, ["name", "week"], "left").select(F.col("name").alias("professor"), "week", status.alias("status"))
 
 
-def _ids(c: str = "video_id") -> Column:
-    return F.concat_ws("|", F.sort_array(F.collect_set(c)))
+@add("compliance", f"WITH {_COMPLIANCE} SELECT professor, week, status, round(rate,6) AS rate FROM st JOIN (SELECT professor, CASE WHEN count(*) FILTER (WHERE status<>'missing')=0 THEN 0.0 ELSE count(*) FILTER (WHERE status='uploaded')*1.0e0/count(*) FILTER (WHERE status<>'missing') END AS rate FROM st GROUP BY 1) USING (professor)")
+def compliance(spark, d):
+    there, good = F.count_if(F.col("status") != "missing"), F.count_if(F.col("status") == "uploaded")
+    rows = _statuses(spark, d)
+    rate = F.round(F.coalesce(F.try_divide(good.cast("double"), there.cast("double")), F.lit(0.0)), 6)
+    weeks = F.collect_list(F.struct("week", "status"))  # sixteen a professor
+    return rows.groupBy("professor").agg(rate.alias("rate"), weeks.alias("w")).select("professor", "rate", F.explode("w").alias("x")).select("professor", "x.week", "x.status", "rate")
 
 
-def v001(spark, d) -> DataFrame:
-    rows = joined(spark, d).where(F.abs(F.col("year") - F.year("published_at")) > 1)
-    return rows.select(F.lit("V-001").alias("rule_id"), F.lit("warning").alias("severity"), F.col("video_id").alias("ids"))
+@add("heat_encode", f"WITH {_COMPLIANCE} SELECT professor, week, CASE status WHEN 'uploaded' THEN 1.0e0 WHEN 'late' THEN 0.5e0 ELSE 0.0e0 END AS heat FROM st")
+def heat_encode(spark, d):
+    code = F.create_map(*[F.lit(x) for x in ("uploaded", 1.0, "late", 0.5, "missing", 0.0)])
+    return _statuses(spark, d).select("professor", "week", code[F.col("status")].alias("heat"))
 
 
-def v002(spark, d) -> DataFrame:
-    by = facts(spark, d).where("professor is not null").groupBy("professor", "course", "week", "session").agg(_ids().alias("ids"), F.countDistinct("video_id").alias("n"))
-    return by.where("n >= 2").select(F.lit("V-002").alias("rule_id"), F.lit("error").alias("severity"), "ids")
+# rankings and suggestions ----------------------------------------------------------------------------------------------
 
 
-def v003(spark, d, most=14) -> DataFrame:
-    return facts(spark, d).where((F.col("week") <= 0) | (F.col("week") > most)).select(F.lit("V-003").alias("rule_id"), F.lit("error").alias("severity"), F.col("video_id").alias("ids"))
+def ranked(rows: DataFrame, group: str, by: list, size: int = 64) -> DataFrame:
+    """rows with `place`, their rank in the group by the total order `by` (columns, of which the first descends).
 
+    The group is cut at quantiles of the first column, each part is ranked by itself and moved by the sizes of the parts
+    before it, so that no task sorts a whole hot group.
+    """
+    first = by[0]
+    cuts = rows.groupBy(group).agg(F.percentile_approx(first, [i / size for i in range(1, size)], 10_000).alias("cuts"))
+    rows = rows.join(cuts, rows[group].eqNullSafe(cuts[group]), "left").drop(cuts[group])
+    part = F.when(F.col(first).isNull(), size + 1).otherwise(F.coalesce(size - F.size(F.filter("cuts", lambda x: x < F.col(first))), F.lit(0)))
+    rows = rows.withColumn("_part", part).drop("cuts")
+    sizes = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).select(F.col(group).alias("_g"), F.col("_part").alias("_q"), "_before")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_part").orderBy(F.desc_nulls_last(first), *by[1:])))
+    rows = rows.join(sizes, rows[group].eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_q")))
+    return rows.withColumn("place", (F.col("_before") + F.col("_r")).cast("long")).drop("_part", "_r", "_g", "_q", "_before")
 
-def v005(spark, d) -> DataFrame:
-    bad = table(spark, d, "sample_titles").where(~F.coalesce("title", F.lit("")).rlike("[0-9]+주차|Week [0-9]+"))
-    return bad.select("video_id").distinct().select(F.lit("V-005").alias("rule_id"), F.lit("info").alias("severity"), F.col("video_id").alias("ids"))
+
+@add("rankings", "WITH v AS (SELECT DISTINCT video_id, channel_id, view_count, like_count, comment_count FROM videos) SELECT video_id, row_number() OVER (PARTITION BY channel_id ORDER BY view_count DESC NULLS LAST, video_id) AS by_views, row_number() OVER (PARTITION BY channel_id ORDER BY round((like_count+comment_count)*1.0e0/nullif(view_count,0),4) DESC NULLS LAST, video_id) AS by_engagement FROM v")
+def rankings(spark, d):
+    rate = F.round(F.try_divide((F.col("like_count") + F.col("comment_count")).cast("double"), F.col("view_count").cast("double")), 4)
+    rows = videos(spark, d).select("video_id", "channel_id", "view_count", rate.alias("rate"))
+    views = ranked(rows, "channel_id", ["view_count", "video_id"]).withColumnRenamed("place", "by_views")
+    return ranked(views, "channel_id", ["rate", "video_id"]).select("video_id", "by_views", F.col("place").alias("by_engagement"))
 
 
-def v006(spark, d) -> DataFrame:
-    rows = facts(spark, d).where("course is not null").select("course", "week", "session").distinct()
-    before = F.lag("session").over(Window.partitionBy("course", "week").orderBy("session"))
-    gaps = rows.withColumn("before", before).where("session >= 2 and coalesce(before, -1) <> session - 1")
-    return gaps.select(F.lit("V-006").alias("rule_id"), F.lit("warning").alias("severity"), F.concat_ws("|", "course", F.col("week").cast("string"), F.col("session").cast("string")).alias("ids"))
+_TOP = """o AS (SELECT channel_id, min(duration_seconds) AS lo, max(duration_seconds) AS hi, count(*) AS top FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY view_count DESC NULLS LAST, video_id) AS rn, count(*) OVER (PARTITION BY channel_id) AS n FROM (SELECT DISTINCT video_id, channel_id, view_count, duration_seconds FROM videos)) WHERE rn <= greatest(1, n//2) GROUP BY 1)"""
 
 
-def v007(spark, d, most=1.5) -> DataFrame:
-    w = Window.partitionBy("course")
-    rows = joined(spark, d).where("duration_seconds > 0 and course is not null")
-    rows = rows.withColumns({"m": F.avg("duration_seconds").over(w), "s": F.stddev_samp("duration_seconds").over(w), "n": F.count("*").over(w)})
-    return rows.where((F.col("n") >= 3) & (F.col("s") > 0) & (F.abs(F.col("duration_seconds") - F.col("m")) / F.col("s") > most)).select(F.lit("V-007").alias("rule_id"), F.lit("info").alias("severity"), F.col("video_id").alias("ids"))
+@add("compare_videos_optimal", f"WITH {_TOP} SELECT * FROM o")
+def compare_videos_optimal(spark, d):
+    rows = videos(spark, d).select("channel_id", "video_id", "view_count", "duration_seconds")
+    n = rows.groupBy(F.col("channel_id").alias("c")).agg(F.count("*").alias("n"))
+    rows = ranked(rows, "channel_id", ["view_count", "video_id"])
+    rows = rows.join(n, rows["channel_id"].eqNullSafe(n["c"])).where("place <= greatest(1, n div 2)")
+    return rows.groupBy("channel_id").agg(F.min("duration_seconds").alias("lo"), F.max("duration_seconds").alias("hi"), F.count("*").alias("top"))
 
 
-def v008(spark, d) -> DataFrame:
-    by = facts(spark, d).where("professor is not null and week is not null").groupBy("professor", "course").agg(F.collect_set("week").alias("weeks"), F.min("week").alias("lo"), F.max("week").alias("hi"))
-    lacking = F.array_except(F.expr("sequence(lo, hi)"), F.col("weeks"))
-    return by.where(F.size(lacking) > 0).select(F.lit("V-008").alias("rule_id"), F.lit("warning").alias("severity"), F.concat_ws("|", "professor", "course", F.concat_ws(",", F.transform(lacking, lambda x: x.cast("string")))).alias("ids"))
+_WEAK = " , ".join(f"CASE WHEN {a} < 0.6 THEN '{a}' END" for a in I.AXES)
 
 
-def v009(spark, d) -> DataFrame:
-    rows = facts(spark, d).where("professor is not null and week is not null").select("professor", "course", "week").distinct()
-    after = F.lead("week").over(Window.partitionBy("professor", "course").orderBy("week"))
-    return rows.withColumn("after", after).where("after - week > 2").select(F.lit("V-009").alias("rule_id"), F.lit("info").alias("severity"), F.concat_ws("|", "professor", "course", F.col("week").cast("string"), F.col("after").cast("string")).alias("ids"))
+@add("suggestions", f"""WITH {_P}, {I.EQS}, {_TOP}, x AS (SELECT DISTINCT video_id, channel_id, duration_seconds, view_count, like_count, comment_count FROM videos),
+t AS (SELECT channel_id, sum(coalesce(duration_seconds,0)) AS s, sum(like_count+comment_count) AS e, sum(view_count) AS w FROM x GROUP BY 1), q AS (SELECT p.video_id, min_by(ax, detail_id) AS a FROM p JOIN ax ON ax.professor_name = p.professor GROUP BY 1)
+SELECT video_id AS key, 'length' AS category, 'high' AS priority, '' AS evidence FROM x WHERE duration_seconds > 3600 UNION ALL SELECT video_id, 'length', 'medium', '' FROM x WHERE duration_seconds > 2400 AND duration_seconds <= 3600
+UNION ALL SELECT video_id, 'engagement', CASE WHEN (like_count+comment_count)*1.0e0/view_count < 0.005 THEN 'high' ELSE 'medium' END, '' FROM x WHERE view_count > 100 AND (like_count+comment_count)*1.0e0/view_count < 0.01
+UNION ALL SELECT t.channel_id, 'length', 'medium', lo || '-' || hi FROM t JOIN o ON o.channel_id=t.channel_id WHERE s > 0 AND lo > 0 AND hi > 0
+UNION ALL SELECT x.video_id, 'content', 'medium', concat_ws(',', {_WEAK.replace("CASE WHEN ", "CASE WHEN a.").replace("a.'", "'")}) FROM x JOIN q USING (video_id) WHERE least(a.relevance, a.accuracy, a.clarity, a.engagement, a.depth) < 0.6
+UNION ALL SELECT channel_id, 'engagement', 'medium', '' FROM t WHERE w > 0 AND e*1.0e0/w < 0.02""")
+def suggestions(spark, d):
+    """key (video, or channel), category, priority, evidence: rules on length, engagement, best lengths, weak axes and channels."""
+    c, out = F.col, lambda rows, key, category, priority, evidence="": rows.select(F.col(key).alias("key"), F.lit(category).alias("category"), (priority if not isinstance(priority, str) else F.lit(priority)).alias("priority"), (evidence if not isinstance(evidence, str) else F.lit(evidence)).alias("evidence"))
+    x = videos(spark, d).select("video_id", "channel_id", "duration_seconds", "view_count", "like_count", "comment_count")
+    rate = F.try_divide((c("like_count") + c("comment_count")).cast("double"), c("view_count").cast("double"))
+    t = x.groupBy("channel_id").agg(F.sum(F.coalesce("duration_seconds", F.lit(0))).alias("s"), F.sum(c("like_count") + c("comment_count")).alias("e"), F.sum("view_count").alias("w"))
+    best = t.join(compare_videos_optimal(spark, d), "channel_id").where("s > 0 and lo > 0 and hi > 0")
+    first = I.axes(spark, d).groupBy("professor_name").agg(F.min_by(F.struct(*I.AXES), "detail_id").alias("a"))
+    scored = x.join(facts(spark, d).select("video_id", F.col("professor").alias("professor_name")), "video_id").join(F.broadcast(first), "professor_name")  # a register of fixed size
+    weak = F.concat_ws(",", *[F.when(c(f"a.{a}") < 0.6, a) for a in I.AXES])
+    parts = [
+        out(x.where("duration_seconds > 2400"), "video_id", "length", F.when(c("duration_seconds") > 3600, "high").otherwise("medium")),
+        out(x.where((c("view_count") > 100) & (rate < 0.01)), "video_id", "engagement", F.when(rate < 0.005, "high").otherwise("medium")),
+        out(best, "channel_id", "length", "medium", F.concat_ws("-", c("lo").cast("string"), c("hi").cast("string"))),
+        out(scored.where(weak != ""), "video_id", "content", "medium", weak),
+        out(t.where("w > 0").where(c("e") / c("w") < 0.02), "channel_id", "engagement", "medium"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@add("bundle_channels", f"WITH {_P} SELECT v.channel_id, f.name AS professor, count(*) AS n, array_to_string(list_sort(list(DISTINCT f.course)),'|') AS courses FROM v JOIN f USING (video_id) GROUP BY 1,2")
+def bundle_channels(spark, d):
+    rows = owned(spark, d).join(videos(spark, d).select("video_id", "channel_id"), "video_id")
+    return rows.groupBy("channel_id", F.col("name").alias("professor")).agg(F.count("*").alias("n"), F.concat_ws("|", F.sort_array(F.collect_set("course"))).alias("courses"))
 
 
-_V = {
-    "v001": "SELECT 'V-001' AS rule_id, 'warning' AS severity, video_id AS ids FROM p JOIN v USING (video_id) WHERE abs(p.year - date_part('year', ts)) > 1",
-    "v002": "SELECT 'V-002' AS rule_id, 'error' AS severity, array_to_string(list_sort(list(DISTINCT video_id)),'|') AS ids FROM p WHERE professor IS NOT NULL GROUP BY professor, course, week, session HAVING count(DISTINCT video_id) >= 2",
-    "v003": "SELECT 'V-003' AS rule_id, 'error' AS severity, video_id AS ids FROM p WHERE week <= 0 OR week > 14",
-    "v005": "SELECT DISTINCT 'V-005' AS rule_id, 'info' AS severity, video_id AS ids FROM sample_titles WHERE NOT regexp_matches(coalesce(title,''),'[0-9]+주차|Week [0-9]+')",
-    "v006": "SELECT 'V-006' AS rule_id, 'warning' AS severity, course||'|'||week||'|'||session AS ids FROM (SELECT *, lag(session) OVER (PARTITION BY course, week ORDER BY session) AS b FROM (SELECT DISTINCT course, week, session FROM p WHERE course IS NOT NULL)) WHERE session >= 2 AND coalesce(b,-1) <> session-1",
-    "v007": "SELECT 'V-007' AS rule_id, 'info' AS severity, video_id AS ids FROM (SELECT *, avg(duration_seconds) OVER (PARTITION BY course) AS m, stddev_samp(duration_seconds) OVER (PARTITION BY course) AS s, count(*) OVER (PARTITION BY course) AS n FROM p JOIN v USING (video_id) WHERE duration_seconds > 0 AND course IS NOT NULL) WHERE n >= 3 AND s > 0 AND abs(duration_seconds-m)/s > 1.5",
-    "v008": "SELECT 'V-008' AS rule_id, 'warning' AS severity, professor||'|'||course||'|'||array_to_string(miss,',') AS ids FROM (SELECT professor, course, list_filter(range(min(week), max(week)+1), lambda x: NOT list_contains(list(week), x::INT)) AS miss FROM p WHERE professor IS NOT NULL AND week IS NOT NULL GROUP BY 1,2) WHERE len(miss) > 0",
-    "v009": "SELECT 'V-009' AS rule_id, 'info' AS severity, professor||'|'||course||'|'||week||'|'||nx AS ids FROM (SELECT *, lead(week) OVER (PARTITION BY professor, course ORDER BY week) AS nx FROM (SELECT DISTINCT professor, course, week FROM p WHERE professor IS NOT NULL AND week IS NOT NULL)) WHERE nx - week > 2",
-}
-RULES = {"v001": v001, "v002": v002, "v003": v003, "v005": v005, "v006": v006, "v007": v007, "v008": v008, "v009": v009}
-for _name, _rule in RULES.items():
-    add(_name, f"WITH {_P} {_V[_name]}")(_rule)
+@add("filter_desc", "SELECT channel_id, 'Bundle: ' || coalesce(channel_title, channel_id) AS title, concat_ws(' | ', 'channel=' || channel_id, CASE WHEN channel_title IS NOT NULL THEN 'keyword=' || channel_title END, CASE WHEN privacy_status IS NOT NULL THEN 'status=' || privacy_status END) AS description FROM channel_metadata")
+def filter_desc(spark, d):
+    said = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}="), c))
+    return table(spark, d, "channel_metadata").select("channel_id", F.concat(F.lit("Bundle: "), F.coalesce("channel_title", "channel_id")).alias("title"), F.concat_ws(" | ", said("channel", "channel_id"), said("keyword", "channel_title"), said("status", "privacy_status")).alias("description"))
+
+
+# titles --------------------------------------------------------------------------------------------------------------
+
+
+@add("parse_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE NOT parse_error) AS parsed, count(*) FILTER (WHERE parse_error) AS failed, round(avg(CASE WHEN parse_error THEN 0.0 ELSE 1.0 END),6) AS rate FROM ({I.parser_sql('sample_titles')})")
+def parse_stats(spark, d):
+    rows = titles_op.parse(table(spark, d, "sample_titles"))
+    return rows.agg(F.count("*").alias("total"), F.count_if(~F.col("parse_error")).alias("parsed"), F.count_if("parse_error").alias("failed"), F.round(F.avg(F.when(F.col("parse_error"), 0.0).otherwise(1.0)), 6).alias("rate"))
+
+
+@add("title_parse", I.parser_sql("sample_titles"))
+def title_parse(spark, d):
+    return titles_op.parse(table(spark, d, "sample_titles"))
+
+
+@add("match_key", f"SELECT video_id, {I.key_sql('title')} AS match_key FROM sample_titles")
+def match_key(spark, d):
+    return table(spark, d, "sample_titles").select("video_id", titles_op.match_key(F.col("title")).alias("match_key"))
+
 
+@add("title_match", f"WITH {_P}, {I.FILES}, k AS (SELECT file_id, regexp_replace(file,'\\.[^.]+$','') AS stem, title FROM fl JOIN v ON v.video_id = fl.file_id) SELECT file_id, stem = title AS exact, a = b OR (length(a) >= 50 AND starts_with(b,a)) AS normalised FROM (SELECT *, {I.key_sql('stem')} AS a, {I.key_sql('title')} AS b FROM k)")
+def title_match(spark, d):
+    rows = I.files(spark, d).join(videos(spark, d).select(F.col("video_id").alias("file_id"), "title"), "file_id")
+    rows = rows.withColumn("stem", titles_op.stem(F.col("file"))).withColumns({"a": titles_op.match_key(F.col("stem")), "b": titles_op.match_key(F.col("title"))})
+    return rows.select("file_id", (F.col("stem") == F.col("title")).alias("exact"), titles_op.keys_match(F.col("a"), F.col("b")).alias("normalised"))
+
+
+# validation rules: rule_id, severity, ids (joined by |), professor, details (in the order of the rule) -------------------
+
+
+def _ids(c: str = "video_id") -> Column:
+    return F.concat_ws("|", F.sort_array(F.collect_list(c)))
+
+
+def _finding(rows: DataFrame, rule: str, severity: str, ids, professor=None, *details) -> DataFrame:
+    parts = [F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in details]
+    who = F.lit(None).cast("string") if professor is None else F.col(professor)
+    return rows.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (F.col(ids) if isinstance(ids, str) else ids).alias("ids"), who.alias("professor"), F.concat_ws("|", *parts).alias("details"))
 
-@add("v003_week16")
-def v003_week16(spark, d):
-    """V-003 with the weeks of a term as its limit; v003 keeps to its SQL, which has a limit of 14."""
-    return v003(spark, d, WEEKS)
+
+def v001(spark, d) -> DataFrame:
+    """The year of the title and that of the upload differ by more than one."""
+    rows = joined(spark, d).withColumn("upload", F.year("published_at")).withColumn("gap", F.abs(F.col("year") - F.col("upload")))
+    return _finding(rows.where("gap > 1"), "V-001", "WARNING", "video_id", None, "year", "upload", "gap")
 
 
-@add("v007_sigma3")
-def v007_sigma3(spark, d):
-    """V-007 beyond three standard deviations; v007 keeps to its SQL, which has 1.5."""
-    return v007(spark, d, 3.0)
+def v002(spark, d) -> DataFrame:
+    """Several videos of one professor, course, week and session."""
+    key = ["name", "course", "week", "session"]
+    by = owned(spark, d).where("week is not null and session is not null").groupBy(*key).agg(F.count("*").alias("n"), _ids().alias("ids")).where("n >= 2")
+    return _finding(by, "V-002", "ERROR", "ids", "name", "course", "week", "session", "n")
 
 
-@add("v005_parser")
-def v005_parser(spark, d):
-    """V-005 by the outcome of the parser; the SQL of v005 takes any week number for success."""
-    bad = titles_op.parse(table(spark, d, "sample_titles")).where("parse_error")
-    return bad.select("video_id").distinct().select(F.lit("V-005").alias("rule_id"), F.lit("warning").alias("severity"), F.col("video_id").alias("ids"))
+def v003(spark, d, most: int = WEEKS) -> DataFrame:
+    """A week below 1 or beyond the term."""
+    return _finding(facts(spark, d).where((F.col("week") <= 0) | (F.col("week") > most)), "V-003", "ERROR", "video_id", None, "week")
 
 
-@add("v004")
-def v004(spark, d):
-    """Professor names of the videos within two edits of each other, with the videos of both."""
+def v004(spark, d) -> DataFrame:
+    """Names of professors within two edits of each other, with the videos of both."""
     names = facts(spark, d).select("video_id", F.explode(T.professor_names(F.col("professor"))).alias("name"))
     by = materialize(names.groupBy("name").agg(F.collect_set("video_id").alias("v")))
     of = lambda x: by.select(F.col("name").alias(f"name_{x}"), F.col("v").alias(f"v_{x}"))
     pairs = titles_op.near_names(by.select("name")).join(of("a"), "name_a").join(of("b"), "name_b")
-    ids = F.concat_ws("|", F.sort_array(F.array_union("v_a", "v_b")))
-    return pairs.select(F.lit("V-004").alias("rule_id"), F.lit("warning").alias("severity"), ids.alias("ids"), "name_a", "name_b", "distance")
+    return _finding(pairs, "V-004", "WARNING", F.concat_ws("|", F.sort_array(F.array_union("v_a", "v_b"))), None, "name_a", "name_b", "distance")
 
 
-@add("levenshtein", "WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nx FROM part) SELECT p_partkey, levenshtein(p_name, nx)::INT AS distance FROM n WHERE nx IS NOT NULL")
-def levenshtein(spark, d):
-    after = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", "p_name", after.alias("nx")).where("nx is not null").select("p_partkey", F.levenshtein("p_name", "nx").alias("distance"))
+def v005(spark, d) -> DataFrame:
+    """Titles that the parser can't read."""
+    titles = table(spark, d, "sample_titles").select("video_id", "title").distinct()
+    bad = titles_op.parse(titles, "title").where("parse_error")
+    return _finding(bad, "V-005", "WARNING", "video_id", None, F.substring(F.coalesce("title", F.lit("")), 1, 80))
 
 
-_RANK = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
-_ALL = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in _V.values())
+def v006(spark, d) -> DataFrame:
+    """A session without the one before it, among the regular videos of a professor, course and week."""
+    key = ["name", "course", "week"]
+    rows = owned(spark, d).where("category <> 'supplementary' and week is not null and session is not null").groupBy(*key, "session").agg(F.max("video_id").alias("video_id"))
+    gaps = rows.withColumn("before", F.lag("session").over(Window.partitionBy(*key).orderBy("session"))).where("session >= 2 and coalesce(before, -1) <> session - 1")
+    return _finding(gaps, "V-006", "WARNING", "video_id", "name", "course", "week", "session", F.col("session") - 1)
 
 
-def _placed(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("place", F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2))
+def v007(spark, d, most: float = 3.0) -> DataFrame:
+    """Durations more than three (sample) standard deviations from the mean of their course, of at least three videos."""
+    rows = joined(spark, d).where("duration_seconds > 0 and course <> ''").select("video_id", "course", "duration_seconds")
+    by = rows.groupBy("course").agg(F.avg("duration_seconds").alias("m"), F.stddev_samp("duration_seconds").alias("s"), F.count("*").alias("n")).where("n >= 3 and s > 0")
+    far = rows.join(by, "course").where(F.abs(F.col("duration_seconds") - F.col("m")) / F.col("s") > most)
+    return _finding(far, "V-007", "INFO", "video_id", None, "course", "duration_seconds")
 
 
-def _findings(spark, d) -> DataFrame:
-    return reduce(DataFrame.unionByName, [rule(spark, d) for rule in RULES.values()])
+def v008(spark, d) -> DataFrame:
+    """Weeks that lack between the first and the last one of the regular videos of a professor and course."""
+    rows = owned(spark, d).where("week is not null")
+    regular = F.when(F.col("category") != "supplementary", F.col("week"))
+    by = rows.groupBy("name", "course").agg(F.collect_set(regular).alias("weeks"), F.min(regular).alias("lo"), F.max(regular).alias("hi"), F.min("video_id").alias("first")).where("hi > lo")
+    lacking = F.array_except(F.expr("sequence(lo, hi)"), F.col("weeks"))
+    by = by.withColumn("lacking", F.concat_ws(",", F.transform(lacking, lambda x: x.cast("string")))).where("lacking <> ''")
+    return _finding(by, "V-008", "WARNING", "first", "name", "course", "lacking")
 
 
-# All nine rules, at the limits of the survey. RULES has those that the SQL twins of findings_union and findings_ranked hold.
-NINE = RULES | {"v003": v003_week16, "v004": v004, "v005": v005_parser, "v007": v007_sigma3}
+def v009(spark, d) -> DataFrame:
+    """Two or more weeks in a row without a regular video of a professor and course."""
+    rows = owned(spark, d).where("category <> 'supplementary' and week is not null")
+    weeks = rows.groupBy("name", "course", "week").agg(F.min("video_id").alias("video_id"))
+    w = Window.partitionBy("name", "course")
+    weeks = weeks.withColumns({"after": F.lead("week").over(w.orderBy("week")), "first": F.min("video_id").over(w)})
+    return _finding(weeks.where("after - week > 2"), "V-009", "INFO", "first", "name", "course", "week", "after", F.col("after") - F.col("week") - 1)
 
 
-def _nine(spark, d) -> DataFrame:
-    return reduce(DataFrame.unionByName, [rule(spark, d).select("rule_id", "severity", "ids") for rule in NINE.values()])
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+# the SQL engine counts edits in bytes: the characters of both names, at most as many as there are letters, become ASCII
+_EDITS = f"levenshtein(translate(a.name, u, '{_LETTERS}'), translate(b.name, u, '{_LETTERS}'))"
+_V = {
+    "v001": "SELECT 'V-001' AS rule_id, 'WARNING' AS severity, video_id AS ids, NULL::VARCHAR AS professor, concat_ws('|', p.year, date_part('year', ts), abs(p.year - date_part('year', ts))) AS details FROM p JOIN v USING (video_id) WHERE abs(p.year - date_part('year', ts)) > 1",
+    "v002": "SELECT 'V-002' AS rule_id, 'ERROR' AS severity, array_to_string(list_sort(list(video_id)),'|') AS ids, name AS professor, concat_ws('|', course, week, session, count(*)) AS details FROM f WHERE week IS NOT NULL AND session IS NOT NULL GROUP BY name, course, week, session HAVING count(*) >= 2",
+    "v003": "SELECT 'V-003' AS rule_id, 'ERROR' AS severity, video_id AS ids, NULL::VARCHAR AS professor, week::VARCHAR AS details FROM p WHERE week <= 0 OR week > 16",
+    "v004": f"SELECT 'V-004' AS rule_id, 'WARNING' AS severity, array_to_string(list_sort(list_distinct(va || vb)),'|') AS ids, NULL::VARCHAR AS professor, concat_ws('|', an, bn, k) AS details FROM (SELECT a.name AS an, b.name AS bn, a.v AS va, b.v AS vb, {_EDITS} AS k FROM (SELECT x.*, array_to_string(list_distinct(string_split(x.name || y.name,'')),'') AS u, y.name AS other FROM (SELECT name, list(DISTINCT video_id) AS v FROM (SELECT video_id, unnest({I.names_sql('professor')}) AS name FROM p) GROUP BY 1) x JOIN (SELECT DISTINCT unnest({I.names_sql('professor')}) AS name FROM p) y ON x.name < y.name AND abs(length(x.name)-length(y.name)) <= 2) a JOIN (SELECT name, list(DISTINCT video_id) AS v FROM (SELECT video_id, unnest({I.names_sql('professor')}) AS name FROM p) GROUP BY 1) b ON b.name = a.other) WHERE k BETWEEN 1 AND 2",
+    "v005": f"SELECT 'V-005' AS rule_id, 'WARNING' AS severity, video_id AS ids, NULL::VARCHAR AS professor, substring(title,1,80) AS details FROM (SELECT t.video_id, coalesce(t.title,'') AS title, parse_error FROM (SELECT DISTINCT video_id, title FROM sample_titles) t JOIN (SELECT DISTINCT title, parse_error FROM (SELECT video_id AS title, parse_error FROM ({I.parser_sql('(SELECT DISTINCT title AS video_id, title FROM sample_titles)')}))) r ON r.title IS NOT DISTINCT FROM t.title) WHERE parse_error",
+    "v006": "SELECT 'V-006' AS rule_id, 'WARNING' AS severity, video_id AS ids, name AS professor, concat_ws('|', course, week, session, session-1) AS details FROM (SELECT *, lag(session) OVER (PARTITION BY name, course, week ORDER BY session) AS b FROM (SELECT name, course, week, session, max(video_id) AS video_id FROM f WHERE category <> 'supplementary' AND week IS NOT NULL AND session IS NOT NULL GROUP BY 1,2,3,4)) WHERE session >= 2 AND coalesce(b,-1) <> session-1",
+    "v007": "SELECT 'V-007' AS rule_id, 'INFO' AS severity, video_id AS ids, NULL::VARCHAR AS professor, concat_ws('|', course, duration_seconds) AS details FROM (SELECT *, avg(duration_seconds) OVER (PARTITION BY course) AS m, stddev_samp(duration_seconds) OVER (PARTITION BY course) AS s, count(*) OVER (PARTITION BY course) AS n FROM p JOIN v USING (video_id) WHERE duration_seconds > 0 AND course <> '') WHERE n >= 3 AND s > 0 AND abs(duration_seconds-m)/s > 3",
+    "v008": "SELECT 'V-008' AS rule_id, 'WARNING' AS severity, first AS ids, name AS professor, concat_ws('|', course, array_to_string(miss,',')) AS details FROM (SELECT name, course, min(video_id) AS first, list_filter(range(min(week) FILTER (WHERE category <> 'supplementary'), max(week) FILTER (WHERE category <> 'supplementary')+1), lambda x: NOT list_contains(list(week) FILTER (WHERE category <> 'supplementary'), x::INT)) AS miss FROM f WHERE week IS NOT NULL GROUP BY 1,2) WHERE len(miss) > 0",
+    "v009": "SELECT 'V-009' AS rule_id, 'INFO' AS severity, first AS ids, name AS professor, concat_ws('|', course, week, nx, nx-week-1) AS details FROM (SELECT *, lead(week) OVER (PARTITION BY name, course ORDER BY week) AS nx, min(video_id) OVER (PARTITION BY name, course) AS first FROM (SELECT name, course, week, min(video_id) AS video_id FROM f WHERE category <> 'supplementary' AND week IS NOT NULL GROUP BY 1,2,3)) WHERE nx - week > 2",
+}
+RULES = {f"v00{i}": rule for i, rule in enumerate((v001, v002, v003, v004, v005, v006, v007, v008, v009), 1)}
+for _name, _rule in RULES.items():
+    add(_name, f"WITH {_P} {_V[_name]}")(_rule)
 
 
-@add("findings_union_nine")
-def findings_union_nine(spark, d):
-    return _nine(spark, d).groupBy("rule_id").agg(F.count("*").alias("n"))
+_RANK = "CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END"
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in _V.values())
 
 
-@add("findings_ranked_nine")
-def findings_ranked_nine(spark, d):
-    return _placed(_nine(spark, d))
+def _findings(spark, d) -> DataFrame:
+    return reduce(DataFrame.unionByName, [rule(spark, d) for rule in RULES.values()])
 
 
 @add("findings_union", f"WITH {_P} SELECT rule_id, count(*) AS n FROM ({_ALL}) GROUP BY 1")
@@ -370,19 +394,19 @@ def findings_union(spark, d):
     return _findings(spark, d).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@add("findings_ranked", f"WITH {_P} SELECT rule_id, severity, ids, {_RANK} AS place FROM ({_ALL})")
+@add("findings_ranked", f"WITH {_P} SELECT *, {_RANK} AS place FROM ({_ALL})")
 def findings_ranked(spark, d):
-    return _placed(_findings(spark, d))
+    return _findings(spark, d).withColumn("place", F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARNING", 1).otherwise(2))
 
 
 @add("rule_counts", f"WITH {_P} SELECT severity, count(*) AS n, count(DISTINCT rule_id) AS rules FROM ({_ALL}) WHERE rule_id IN ('V-001','V-002','V-006','V-009') GROUP BY 1")
 def rule_counts(spark, d):
-    return _findings(spark, d).where(F.col("rule_id").isin("V-001", "V-002", "V-006", "V-009")).groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("rules"))
+    some = reduce(DataFrame.unionByName, [RULES[x](spark, d) for x in ("v001", "v002", "v006", "v009")])
+    return some.groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("rules"))
 
 
-@add("details_json", f"WITH {_P} SELECT video_id, p.year AS title_year, date_part('year', ts)::INT AS upload_year FROM p JOIN v USING (video_id) WHERE abs(p.year - date_part('year', ts)) > 1")
+@add("details_json", f"WITH {_P} SELECT video_id, p.year AS title_year, date_part('year', ts)::INT AS upload_year, abs(p.year - date_part('year', ts))::INT AS difference FROM p JOIN v USING (video_id) WHERE abs(p.year - date_part('year', ts)) > 1")
 def details_json(spark, d):
-    rows = joined(spark, d).where(F.abs(F.col("year") - F.year("published_at")) > 1)
-    as_json = F.to_json(F.struct(F.col("year").alias("title_year"), F.year("published_at").alias("upload_year")))
-    back = F.from_json(as_json, "title_year int, upload_year int")
-    return rows.select("video_id", back["title_year"].alias("title_year"), back["upload_year"].alias("upload_year"))
+    rows = joined(spark, d).withColumn("upload", F.year("published_at")).where(F.abs(F.col("year") - F.col("upload")) > 1)
+    as_json = F.to_json(F.struct(F.col("year").alias("title_year"), F.col("upload").alias("upload_year"), F.abs(F.col("year") - F.col("upload")).alias("difference")))
+    return rows.select("video_id", F.from_json(as_json, "title_year int, upload_year int, difference int").alias("x")).select("video_id", "x.*")
