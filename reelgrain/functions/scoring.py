@@ -107,3 +107,8 @@ def bit_distance(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
     return F.try_divide(total.cast("double"), n.cast("double"))
+
+
+def preset(vram: Column, gpus: Column) -> Column:
+    """Preset by video memory in GiB (null: none) and number of devices: below 4 none, below 16 quantised, several as a pool."""
+    return F.when(vram.isNull() | (vram < 4), "cpu").when(vram < 16, "gpu-quantized").when(gpus > 1, "gpu-pool").otherwise("gpu-native")

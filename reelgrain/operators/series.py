@@ -43,3 +43,15 @@ def anomalies(points: DataFrame, key: str, value: str, sigmas: float = 3.0) -> D
 
 def model_for(n) -> object:
     return F.when(n < 90, "linear").when(n <= 365, "arima").otherwise("prophet")
+
+
+def incremental_ranges(last: DataFrame, column: str, today: str, lag: int = 3, lookback: int = 730) -> DataFrame:
+    """start, stop, up_to_date and overall beside each report's last day (null: never collected).
+
+    A report goes on the day after its last one, or `lookback` days before the stop; the stop is `lag` days before today, as
+    data come late; overall is the day after the least last day of all.
+    """
+    stop = F.date_sub(F.lit(today).cast("date"), lag)
+    start = F.coalesce(F.date_add(column, 1), F.date_sub(stop, lookback))
+    overall = F.date_add(F.min(column).over(Window.partitionBy()), 1)  # a row per kind of report
+    return last.withColumns({"start": start, "stop": stop, "up_to_date": start > stop, "overall": overall})
