@@ -112,3 +112,8 @@ def bit_distance(a: Column, b: Column) -> Column:
 def preset(vram: Column, gpus: Column) -> Column:
     """Preset by video memory in GiB (null: none) and number of devices: below 4 none, below 16 quantised, several as a pool."""
     return F.when(vram.isNull() | (vram < 4), "cpu").when(vram < 16, "gpu-quantized").when(gpus > 1, "gpu-pool").otherwise("gpu-native")
+
+
+def plausible(size: Column, seconds: Column) -> Column:
+    """Whether a file's bytes per second lie between 0.5e6 and 10e6; false without a positive duration."""
+    return F.coalesce((seconds > 0) & (size / F.when(seconds > 0, seconds)).between(0.5e6, 10e6), F.lit(False))

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from reelgrain.functions import scoring as S
 from reelgrain.functions import text as T
-from reelgrain.operators.facts import canonical, latest, unique_videos
+from reelgrain.operators import governance as G
+from reelgrain.operators import lifecycle as L
+from reelgrain.operators.facts import canonical, latest, merge, unique_videos
+from reelgrain.plans import inputs as I
+from reelgrain.plans import q_captions as C
 from reelgrain.plans.registry import Registry
 from reelgrain.storage import table
 
 QUERIES = Registry()
 add = QUERIES.add
 POLICY = S.Policy()
+#: Videos, of some 30 bytes each, up to which their durations are broadcast.
+BROADCAST_VIDEOS = 1_000_000
 
 _SCORE5 = "round(greatest(0.0, least(100.0, 30.0*CAST(i1_hash_match AS INT) + 25.0*greatest(0.0,least(1.0,i2_cosine_similarity)) + 20.0*greatest(0.0,least(1.0,1.0-i3_change_rate)) + 15.0*(1.0/(1.0+i4_new_term_count)) + 10.0*greatest(0.0, 1.0-abs(i5_duration_diff_seconds)/60.0))) + 1e-9, 2)"
 _GRADE = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'moderate' ELSE 'normal' END"
@@ -78,11 +84,17 @@ def reuse_summary(spark, d):
 
 
 def with_durations(spark, d, *cols: str) -> DataFrame:
-    """Pairs with the durations of both videos: one small projection of the video table joined twice."""
+    """Pairs with the durations of both videos.
+
+    The two numbers of a video are a narrow table: it is broadcast while it has at most BROADCAST_VIDEOS rows, so that videos
+    compared very often don't make a hot key; beyond, both sides are shuffled and skewed partitions split as they run.
+    """
     v = unique_videos(table(spark, d, "videos")).select("video_id", "duration_seconds")
+    near = table(spark, d, "videos").count() <= BROADCAST_VIDEOS
     rows = results(spark, d).select("id", "source_video_id", "target_video_id", *cols)
     for side in ("source", "target"):
-        rows = rows.join(v.withColumnsRenamed({"video_id": f"{side}_video_id", "duration_seconds": f"{side}_duration"}), f"{side}_video_id", "left")
+        own = v.withColumnsRenamed({"video_id": f"{side}_video_id", "duration_seconds": f"{side}_duration"})
+        rows = rows.join(F.broadcast(own) if near else own, f"{side}_video_id", "left")
     return rows
 
 
@@ -97,38 +109,6 @@ def pattern4(spark, d):
     return rows.select("id", S.pattern4(F.round(F.col("i2_cosine_similarity") * shorter, 9), shorter, F.col("session") == 1, 0.5 - 1e-12).alias("pattern"))
 
 
-@add("pattern6", f"""WITH {_DUR} SELECT id, CASE WHEN least(source_duration,target_duration) > 0 AND source_duration IS NOT NULL AND target_duration IS NOT NULL THEN
-CASE WHEN i4_new_term_count > 50 AND i2_cosine_similarity >= 0.85 AND i5_duration_diff_seconds/least(source_duration,target_duration) >= 0.5 THEN 're-recorded-same-content'
-WHEN 1.0-i3_change_rate >= 0.85 AND i3_change_rate <= 0.15 THEN 'tail-update' ELSE (CASE WHEN i5_duration_diff_seconds/least(source_duration,target_duration) >= 0.8 THEN 'whole' ELSE 'scattered' END) || (CASE WHEN session=1 THEN '-same-week' ELSE '-different-week' END) END END AS pattern FROM p""")
-def pattern6(spark, d):
-    rows = with_durations(spark, d, "i2_cosine_similarity", "i3_change_rate", "i4_new_term_count", "i5_duration_diff_seconds", "session")
-    shorter = F.when(F.col("source_duration").isNotNull() & F.col("target_duration").isNotNull(), F.least("source_duration", "target_duration"))
-    return rows.select("id", S.pattern6(F.col("i5_duration_diff_seconds"), shorter, F.col("session") == 1, F.col("i4_new_term_count"), F.col("i2_cosine_similarity"), 1.0 - F.col("i3_change_rate"), F.col("i3_change_rate")).alias("pattern"))
-
-
-@add("layer_cascade", """SELECT id, CASE WHEN i5_duration_diff_seconds < 60 THEN 'excluded' ELSE 'no-op' END AS a,
-CASE WHEN NOT coalesce(i5_duration_diff_seconds < 60,false) AND i4_new_term_count % 3 > 0 THEN 'subtracted' ELSE 'no-op' END AS b,
-CASE WHEN NOT coalesce(i5_duration_diff_seconds < 60,false) AND i4_new_term_count % 5 > 0 THEN 'subtracted' ELSE 'no-op' END AS d,
-CASE WHEN NOT coalesce(i5_duration_diff_seconds < 60,false) AND i2_cosine_similarity BETWEEN 0.60 AND 0.75 THEN 'demoted' ELSE 'no-op' END AS c,
-CASE WHEN NOT coalesce(i5_duration_diff_seconds < 60,false) AND i2_cosine_similarity BETWEEN 0.60 AND 0.75 THEN 'moderate' ELSE lower(trim(grade)) END AS grade FROM comparison_results""")
-def layer_cascade(spark, d):
-    trail = S.layers(POLICY, F.col("i5_duration_diff_seconds"), F.col("i2_cosine_similarity"), F.col("i4_new_term_count") % 3, F.col("i4_new_term_count") % 5)
-    rows = results(spark, d).select("id", "grade", trail.alias("t"))
-    acts = [F.col("t")[i]["action"].alias(x) for i, x in enumerate("abdc")]
-    return rows.select("id", *acts, F.when(F.col("t")[3]["action"] == "demoted", "moderate").otherwise(F.lower(F.trim("grade"))).alias("grade"))
-
-
-@add("attribution_totals", """WITH a AS (SELECT id, unnest([{'layer':'A','action':CASE WHEN i5_duration_diff_seconds < 60 THEN 'excluded' ELSE 'no-op' END},
-{'layer':'C','action':CASE WHEN NOT coalesce(i5_duration_diff_seconds < 60,false) AND i2_cosine_similarity BETWEEN 0.60 AND 0.75 THEN 'demoted' ELSE 'no-op' END}]) AS t FROM comparison_results)
-SELECT t.layer AS layer, t.action AS action, count(*) AS n FROM a GROUP BY 1,2""")
-def attribution_totals(spark, d):
-    none = F.lit(0)
-    trail = S.layers(POLICY, F.col("i5_duration_diff_seconds"), F.col("i2_cosine_similarity"), none, none)
-    as_json = F.to_json(F.filter(trail, lambda x: x["layer"].isin("A", "C")))
-    rows = results(spark, d).select(F.explode(F.from_json(as_json, "array<struct<layer:string,action:string>>")).alias("t"))
-    return rows.groupBy("t.layer", "t.action").agg(F.count("*").alias("n"))
-
-
 @add("attribution_parse", """SELECT id, CASE WHEN review_status IS NULL THEN NULL ELSE 'D' END AS layer FROM comparison_results""")
 def attribution_parse(spark, d):
     raw = F.when(F.col("review_status").isNull(), "not json").otherwise('[{"layer":"D","action":"x","reason":"y"}]')
@@ -254,17 +234,6 @@ def source_types(spark, d):
     return rows.select("id", T.origin_pair(F.col("source"), F.col("target")).alias("pair"))
 
 
-@add("compare_pair", f"""WITH {_VID}, h AS (SELECT source_video_id video_id, max(sha256(title)) h FROM comparison_results c JOIN v ON v.video_id=c.source_video_id GROUP BY 1)
-SELECT c.id, coalesce(sha256(a.title)=sha256(b.title), false) AS i1, CASE WHEN a.duration_seconds IS NULL OR b.duration_seconds IS NULL THEN 60.0 ELSE abs(a.duration_seconds-b.duration_seconds)::DOUBLE END AS i5,
-coalesce(c.i2_cosine_similarity,0.0) AS i2, coalesce(c.i3_change_rate,1.0) AS i3, coalesce(c.i4_new_term_count,0) AS i4 FROM comparison_results c LEFT JOIN v a ON a.video_id=c.source_video_id LEFT JOIN v b ON b.video_id=c.target_video_id""")
-def compare_pair(spark, d):
-    v = unique_videos(table(spark, d, "videos")).select("video_id", F.sha2("title", 256).alias("h"), "duration_seconds")
-    rows = results(spark, d).select("id", "source_video_id", "target_video_id", "i2_cosine_similarity", "i3_change_rate", "i4_new_term_count")
-    for x in ("source", "target"):
-        rows = rows.join(v.withColumnsRenamed({"video_id": f"{x}_video_id", "h": f"{x}_h", "duration_seconds": f"{x}_s"}), f"{x}_video_id", "left")
-    return rows.select("id", F.coalesce(F.col("source_h") == F.col("target_h"), F.lit(False)).alias("i1"), F.coalesce(F.abs(F.col("source_s") - F.col("target_s")).cast("double"), F.lit(60.0)).alias("i5"), F.coalesce("i2_cosine_similarity", F.lit(0.0)).alias("i2"), F.coalesce("i3_change_rate", F.lit(1.0)).alias("i3"), F.coalesce("i4_new_term_count", F.lit(0)).alias("i4"))
-
-
 @add("duration_diff", f"WITH {_DUR} SELECT id, abs(source_duration - target_duration) AS diff FROM p WHERE source_duration IS NOT NULL AND target_duration IS NOT NULL")
 def duration_diff(spark, d):
     return with_durations(spark, d).where("source_duration is not null and target_duration is not null").select("id", F.abs(F.col("source_duration") - F.col("target_duration")).alias("diff"))
@@ -302,11 +271,6 @@ def resume_latest(spark, d):
     return results(spark, d).where("reviewed_at is null").groupBy("course").agg(F.max_by("id", F.struct("created_at", "id")).alias("run"))
 
 
-@add("claim_next", "SELECT coalesce(lower(trim(grade)),'') AS status, arg_min(source_video_id, (created_at, id)) AS video_id FROM comparison_results WHERE reviewed_by IS NULL GROUP BY 1")
-def claim_next(spark, d):
-    return results(spark, d).where("reviewed_by is null").groupBy(F.coalesce(F.lower(F.trim("grade")), F.lit("")).alias("status")).agg(F.min_by("source_video_id", F.struct("created_at", "id")).alias("video_id"))
-
-
 @add("review_update", "SELECT id, CASE WHEN id % 7 = 0 THEN 'confirmed' ELSE review_status END AS review_status FROM comparison_results")
 def review_update(spark, d):
     r = results(spark, d).select("id", "review_status")
@@ -314,26 +278,176 @@ def review_update(spark, d):
     return r.join(updates, "id", "left").select("id", F.coalesce("new", "review_status").alias("review_status"))
 
 
-@add("span_colour", "SELECT id, CASE WHEN i1_hash_match THEN 'gray' WHEN i4_new_term_count = 0 THEN 'lightyellow' ELSE 'steelblue' END AS colour FROM comparison_results")
-def span_colour(spark, d):
-    return results(spark, d).select("id", F.when(F.col("i1_hash_match"), "gray").when(F.col("i4_new_term_count") == 0, "lightyellow").otherwise("steelblue").alias("colour"))
+@add("insert_comparisons", """WITH o AS (SELECT * FROM comparison_results WHERE id % 3 <> 0), n AS (SELECT * FROM comparison_results WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY source_video_id,target_video_id ORDER BY id)=1)
+SELECT id FROM o UNION ALL SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source_video_id=n.source_video_id AND o.target_video_id=n.target_video_id)""")
+def insert_comparisons(spark, d):
+    key = ["source_video_id", "target_video_id"]
+    r = results(spark, d).select("id", *key)
+    old, new = r.where("id % 3 <> 0"), latest(r.where("id % 3 = 0"), key, [-F.col("id")])
+    return old.select("id").unionByName(new.join(old.select(*key), key, "left_anti").select("id"))
+
+
+# layers and patterns over the spans of the source video: its caption segments, compared by the phrase form of their sample -----
+
+_SPANS = f"""{C._C}, {C._BASE}, {C._WHITE}, sp AS (SELECT video_id, {C._L} AS len, b.f IS NOT NULL AS base, wl.f IS NOT NULL AS white FROM x LEFT JOIN b ON b.channel_id=x.channel_id AND b.f=x.f80 LEFT JOIN wl ON wl.channel_id=x.channel_id AND wl.f=x.f80),
+ly AS (SELECT video_id, max(len) AS i6, round(sum(CASE WHEN base THEN len ELSE 0 END),6) AS base_s, count(*) FILTER (WHERE NOT base AND white) AS removed, count(*) FILTER (WHERE NOT base) AS remaining FROM sp GROUP BY 1),
+tr AS (SELECT r.id, r.professor, r.grade, r.review_status, coalesce(i6 < 60,false) AS out, CASE WHEN coalesce(i6 < 60,false) THEN 'excluded' ELSE 'no-op' END AS a, CASE WHEN NOT coalesce(i6 < 60,false) AND coalesce(base_s,0) > 0 THEN 'subtracted' ELSE 'no-op' END AS b,
+CASE WHEN NOT coalesce(i6 < 60,false) AND coalesce(removed,0) > 0 THEN 'subtracted' ELSE 'no-op' END AS d, CASE WHEN NOT coalesce(i6 < 60,false) AND coalesce(i2_cosine_similarity BETWEEN 0.60 AND 0.75,false) THEN 'demoted' ELSE 'no-op' END AS c FROM comparison_results r LEFT JOIN ly ON ly.video_id=r.source_video_id)"""
 
 
-@add("report_assembly", """SELECT course, count(*) AS pairs, count(DISTINCT source_video_id) AS sources, round(avg(suspicion_score)+1e-9,4) AS mean_score, max(i2_cosine_similarity) AS max_cosine, count(*) FILTER (WHERE coalesce(i2_cosine_similarity >= 0.8,false) OR coalesce(suspicion_score>=60,false)) AS appendix FROM comparison_results GROUP BY 1""")
+def span_layers(spark, d) -> DataFrame:
+    """video_id, i6 (longest span), base_s (seconds of baseline phrases), removed (spans left after them that are whitelisted)."""
+    rows = C.phrased(spark, d)
+    hit = lambda known, name: known.select("channel_id", F.col("f").alias("f80"), F.lit(True).alias(name))
+    rows = rows.join(hit(C.baseline(rows), "base"), ["channel_id", "f80"], "left").join(hit(C.whitelist(rows), "white"), ["channel_id", "f80"], "left")
+    base = F.coalesce("base", F.lit(False))
+    return rows.groupBy("video_id").agg(F.max(C._len()).alias("i6"), F.round(F.sum(F.when(base, C._len()).otherwise(0.0)), 6).alias("base_s"), F.count_if(~base & F.coalesce("white", F.lit(False))).alias("removed"))
+
+
+def trails(spark, d) -> DataFrame:
+    """id, professor, grade, review_status and t, the trail of the layers A, B, D and C of each pair."""
+    rows = results(spark, d).select("id", "source_video_id", "professor", "grade", "review_status", "i2_cosine_similarity")
+    rows = rows.join(span_layers(spark, d).withColumnRenamed("video_id", "source_video_id"), "source_video_id", "left")
+    trail = S.layers(POLICY, F.col("i6"), F.col("i2_cosine_similarity"), F.coalesce("base_s", F.lit(0.0)), F.coalesce("removed", F.lit(0)))
+    return rows.select("id", "professor", "grade", "review_status", trail.alias("t"))
+
+
+@add("layer_cascade", f"WITH {_SPANS} SELECT id, a, b, d, c, CASE WHEN c='demoted' THEN 'moderate' ELSE lower(trim(grade)) END AS grade FROM tr")
+def layer_cascade(spark, d):
+    acts = [F.col("t")[i]["action"].alias(x) for i, x in enumerate("abdc")]
+    return trails(spark, d).select("id", *acts, F.when(F.col("t")[3]["action"] == "demoted", "moderate").otherwise(F.lower(F.trim("grade"))).alias("grade"))
+
+
+@add("attribution_totals", f"WITH {_SPANS} SELECT coalesce(lower(trim(grade)),'UNKNOWN') AS pattern, x.layer AS layer, x.action AS action, count(*) AS n, count(*) FILTER (WHERE review_status='FALSE_POSITIVE') AS false_positives FROM (SELECT *, unnest([{{'layer':'A','action':a}},{{'layer':'B','action':b}},{{'layer':'D','action':d}},{{'layer':'C','action':c}}]) AS x FROM tr) GROUP BY 1,2,3")
+def attribution_totals(spark, d):
+    """Totals over the trails as they are stored, in JSON: by pattern (here the grade), layer and action, with the false positives among them."""
+    rows = trails(spark, d).withColumn("raw", F.to_json("t"))
+    rows = rows.select(F.coalesce(F.lower(F.trim("grade")), F.lit("UNKNOWN")).alias("pattern"), "review_status", F.explode(F.from_json("raw", "array<struct<layer:string,action:string>>")).alias("x"))
+    return rows.groupBy("pattern", "x.layer", "x.action").agg(F.count("*").alias("n"), F.count_if(F.col("review_status") == "FALSE_POSITIVE").alias("false_positives"))
+
+
+@add("attribution_audit", f"WITH {_SPANS} SELECT id, x.layer AS layer, x.action AS action FROM (SELECT id, CASE WHEN review_status IS NULL THEN [NULL] ELSE [{{'layer':'A','action':a}},{{'layer':'B','action':b}},{{'layer':'D','action':d}},{{'layer':'C','action':c}}] END AS t FROM tr) q, unnest(t) u(x)")
+def attribution_audit(spark, d):
+    """A row per layer of each pair; a pair without a trail has one blank row."""
+    rows = trails(spark, d).select("id", F.when(F.col("review_status").isNotNull(), F.to_json("t")).otherwise("not json").alias("raw"))
+    parsed = F.filter(F.coalesce(F.from_json("raw", "array<struct<layer:string,action:string>>"), F.array().cast("array<struct<layer:string,action:string>>")), lambda x: x["layer"].isNotNull())
+    return rows.select("id", F.explode_outer(parsed).alias("x")).select("id", "x.layer", "x.action")
+
+
+@add("pattern6", f"""WITH {_DUR}, {_SPANS}, em AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE+1.0e0)*1000000000.0e0)::BIGINT) AS v FROM embeddings), ix AS (SELECT DISTINCT video_id, view_count % 500 AS vec_id FROM videos),
+q AS (SELECT p.*, ly.i6, list_avg(list_transform(list_zip(ea.v,eb.v), lambda z: bit_count(xor(z[1],z[2])))) AS ham FROM p LEFT JOIN ly ON ly.video_id=p.source_video_id LEFT JOIN ix a ON a.video_id=p.source_video_id LEFT JOIN ix b ON b.video_id=p.target_video_id LEFT JOIN em ea ON ea.vec_id=a.vec_id LEFT JOIN em eb ON eb.vec_id=b.vec_id)
+SELECT id, CASE WHEN least(source_duration,target_duration) > 0 AND source_duration IS NOT NULL AND target_duration IS NOT NULL THEN
+CASE WHEN coalesce(round(ham,6) > 12,false) AND i2_cosine_similarity >= 0.85 AND coalesce(i6/least(source_duration,target_duration) >= 0.5,false) THEN 're-recorded-same-content'
+WHEN 1.0-i3_change_rate >= 0.85 AND i3_change_rate <= 0.15 THEN 'tail-update' ELSE (CASE WHEN coalesce(i6/least(source_duration,target_duration) >= 0.8,false) THEN 'whole' ELSE 'scattered' END) || (CASE WHEN session=1 THEN '-same-week' ELSE '-different-week' END) END END AS pattern FROM q""")
+def pattern6(spark, d):
+    """The six patterns by longest span, bits that differ between the fingerprints of both videos, cosine and halves."""
+    v = unique_videos(table(spark, d, "videos")).select("video_id", (F.col("view_count") % 500).alias("vec_id"))
+    bits = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1.0) * 1000000000.0).cast("long"))
+    e = table(spark, d, "embeddings").select("vec_id", bits.alias("v"))
+    prints = v.join(e, "vec_id").select("video_id", "v")
+    rows = with_durations(spark, d, "i2_cosine_similarity", "i3_change_rate", "session")
+    # the fingerprints meet once per pair of videos, however often the two are compared
+    key = ["source_video_id", "target_video_id"]
+    pairs = rows.select(*key).distinct().join(prints.withColumnsRenamed({"video_id": key[0], "v": "a"}), key[0]).join(prints.withColumnsRenamed({"video_id": key[1], "v": "b"}), key[1])
+    pairs = pairs.select(*key, F.round(S.bit_distance(F.col("a"), F.col("b")), 6).alias("ham"))
+    rows = rows.join(pairs, key, "left").join(span_layers(spark, d).select(F.col("video_id").alias(key[0]), "i6"), key[0], "left")
+    shorter = F.when(F.col("source_duration").isNotNull() & F.col("target_duration").isNotNull(), F.least("source_duration", "target_duration"))
+    return rows.select("id", S.pattern6(F.col("i6"), shorter, F.col("session") == 1, F.col("ham"), F.col("i2_cosine_similarity"), 1.0 - F.col("i3_change_rate"), F.col("i3_change_rate"), 12).alias("pattern"))
+
+
+@add("compare_pair", f"""WITH {_VID}, {C._C}, tx AS (SELECT video_id, sha256(string_agg(t,' ' ORDER BY start, segment_id)) AS h FROM (SELECT *, regexp_replace(text,'^[ \\t\\r\\n]+|[ \\t\\r\\n]+$','','g') AS t FROM c WHERE text IS NOT NULL) WHERE t <> '' GROUP BY 1),
+em AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), m AS (SELECT v.video_id, h, duration_seconds AS s, e, list_distinct(list_filter(string_split_regex(title,'[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS w FROM v LEFT JOIN tx USING (video_id) LEFT JOIN em ON em.vec_id = v.view_count % 500)
+SELECT r.id, coalesce(a.h = b.h,false) AS i1, round(coalesce(greatest(0.0,least(1.0,list_cosine_similarity(a.e,b.e))),0.0),5) AS i2, round(CASE WHEN a.w IS NULL OR b.w IS NULL THEN 1.0e0 WHEN len(list_distinct(a.w||b.w))=0 THEN 0.0e0 ELSE (2.0e0*len(list_distinct(a.w||b.w))-len(a.w)-len(b.w))/len(list_distinct(a.w||b.w)) END,6) AS i3,
+CASE WHEN a.w IS NULL OR b.w IS NULL THEN 0 ELSE len(list_distinct(a.w||b.w))-len(a.w) END::BIGINT AS i4, coalesce(abs(a.s-b.s)::DOUBLE,60.0e0) AS i5 FROM comparison_results r LEFT JOIN m a ON a.video_id=r.source_video_id LEFT JOIN m b ON b.video_id=r.target_video_id""")
+def compare_pair(spark, d):
+    """The five indicators of every pair: equal transcripts, cosine of the videos' vectors, words of the titles, durations.
+
+    What a video lacks has the indicator's default: false, 0, 1, 0 and 60. Each pair of videos is compared once.
+    """
+    from reelgrain.plans.q_captions import full_text
+
+    v = unique_videos(table(spark, d, "videos")).select("video_id", F.col("duration_seconds").alias("s"), F.array_distinct(T.words(F.col("title"))).alias("w"), (F.col("view_count") % 500).alias("vec_id"))
+    m = v.join(full_text(spark, d).select("video_id", F.col("hash").alias("h")), "video_id", "left").join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e")), "vec_id", "left").drop("vec_id")
+    key = ["source_video_id", "target_video_id"]
+    rows = results(spark, d).select("id", *key)
+    pairs = rows.select(*key).distinct()
+    for side, k in zip("ab", key):
+        pairs = pairs.join(m.select(F.col("video_id").alias(k), *[F.col(c).alias(f"{c}_{side}") for c in "hsew"]), k, "left")
+    words = F.col("w_a").isNotNull() & F.col("w_b").isNotNull()
+    i2 = F.when(F.col("e_a").isNotNull() & F.col("e_b").isNotNull(), S.cosine(F.col("e_a"), F.col("e_b"))).otherwise(0.0)
+    pairs = pairs.select(*key, F.coalesce(F.col("h_a") == F.col("h_b"), F.lit(False)).alias("i1"), F.round(i2, 5).alias("i2"), F.round(F.when(words, T.change_rate(F.col("w_a"), F.col("w_b"))).otherwise(1.0), 6).alias("i3"), F.when(words, T.new_terms(F.col("w_a"), F.col("w_b"))).otherwise(0).cast("long").alias("i4"), F.coalesce(F.abs(F.col("s_a") - F.col("s_b")).cast("double"), F.lit(60.0)).alias("i5"))
+    return rows.join(pairs, key).select("id", "i1", "i2", "i3", "i4", "i5")
+
+
+# claims, reviews and reports ---------------------------------------------------------------------------------------------
+
+
+@add("claim_next", "WITH g AS (SELECT *, coalesce(lower(trim(grade)),'') AS g FROM comparison_results), k AS (SELECT arg_min(id, (created_at, id)) AS id FROM g WHERE reviewed_by IS NULL GROUP BY g) SELECT id, CASE WHEN id IN (SELECT id FROM k) THEN 'worker_1' ELSE reviewed_by END AS claimed_by FROM g")
+def claim_next(spark, d):
+    """The table after a worker has claimed the oldest free row of each kind."""
+    rows = results(spark, d).select("id", F.coalesce(F.lower(F.trim("grade")), F.lit("")).alias("g"), "created_at", F.col("reviewed_by").alias("owner"))
+    return L.claimed(rows, F.col("owner").isNull(), "g", ["created_at", "id"], "id", "worker_1").select("id", "claimed_by")
+
+
+@add("whitelist_pairs", "SELECT id, CASE WHEN id % 97 = 0 THEN 'FALSE_POSITIVE' ELSE review_status END AS review_status, CASE WHEN id % 97 = 0 THEN 'admin' ELSE reviewed_by END AS reviewed_by, epoch_us(CASE WHEN id % 97 = 0 THEN TIMESTAMPTZ '2024-01-01 00:00:00+00' ELSE reviewed_at END) AS us FROM comparison_results")
+def whitelist_pairs(spark, d):
+    r = results(spark, d).select("id", "review_status", "reviewed_by", "reviewed_at")
+    asked = r.where("id % 97 = 0").select("id", F.lit("admin").alias("actor"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    return G.whitelist_pairs(r, asked).select("id", "review_status", "reviewed_by", F.unix_micros("reviewed_at").alias("us"))
+
+
+@add("whitelist_remove", "SELECT id, CASE WHEN id % 5 = 0 AND review_status = 'FALSE_POSITIVE' THEN 'UNREVIEWED' ELSE review_status END AS review_status, CASE WHEN id % 5 = 0 AND review_status = 'FALSE_POSITIVE' THEN NULL ELSE reviewed_by END AS reviewed_by FROM comparison_results")
+def whitelist_remove(spark, d):
+    r = results(spark, d).select("id", "review_status", "reviewed_by", "reviewed_at")
+    return G.reset_pairs(r, r.where("id % 5 = 0").select("id")).select("id", "review_status", "reviewed_by")
+
+
+@add("review_upsert", "SELECT id, CASE WHEN id % 5 = 0 THEN 'CONFIRMED_DUPLICATE' ELSE review_status END AS status, CASE WHEN id % 5 = 0 THEN coalesce(CASE WHEN id % 2 = 0 THEN 'web' END, reviewed_by) ELSE reviewed_by END AS actor FROM comparison_results WHERE review_status IS NOT NULL OR id % 5 = 0")
+def review_upsert(spark, d):
+    """Reviews of the web pages over those that are there; an actor that isn't given leaves the old one."""
+    r = results(spark, d).select("id", "review_status", "reviewed_by")
+    old = r.where("review_status is not null").select("id", F.col("review_status").alias("status"), F.col("reviewed_by").alias("actor"))
+    new = r.where("id % 5 = 0").select("id", F.lit("CONFIRMED_DUPLICATE").alias("status"), F.when(F.col("id") % 2 == 0, "web").alias("actor"))
+    return merge(old, new, ["id"], ["actor"]).join(r.select("id", "reviewed_by"), "id").select("id", "status", F.coalesce("actor", F.when(F.col("id") % 5 == 0, F.col("reviewed_by"))).alias("actor"))
+
+
+_HIT = "(coalesce(i2_cosine_similarity >= 0.8,false) OR coalesce(i3_change_rate <= 0.2,false) OR coalesce(suspicion_score >= 60,false))"
+
+
+@add("report_assembly", f"""WITH r AS (SELECT *, coalesce(professor,'') AS who FROM comparison_results), n AS (SELECT who, count(DISTINCT v) AS videos FROM (SELECT who, source_video_id AS v FROM r UNION SELECT who, target_video_id FROM r) GROUP BY 1),
+k AS (SELECT who, array_to_string(list(id ORDER BY suspicion_score DESC NULLS LAST, id),'|') AS top FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY who ORDER BY suspicion_score DESC NULLS LAST, id) <= 5) GROUP BY 1)
+SELECT who AS professor, count(*) AS pairs, any_value(videos) AS videos, min(epoch_us(created_at)) AS first_us, max(epoch_us(created_at)) AS last_us, count(*) FILTER (WHERE lower(trim(grade))='critical') AS critical, count(*) FILTER (WHERE lower(trim(grade))='high') AS high, count(*) FILTER (WHERE {_HIT}) AS appendix, any_value(top) AS top FROM r JOIN n USING (who) JOIN k USING (who) GROUP BY 1""")
 def report_assembly(spark, d):
-    hit = (F.col("i2_cosine_similarity") >= 0.8) | (F.col("suspicion_score") >= 60)
-    return results(spark, d).groupBy("course").agg(F.count("*").alias("pairs"), F.countDistinct("source_video_id").alias("sources"), F.round(F.avg("suspicion_score") + S.TIE, 4).alias("mean_score"), F.max("i2_cosine_similarity").alias("max_cosine"), F.count_if(hit).alias("appendix"))
+    """A professor's reuse report: pairs, different videos, period, grades, appendix and the five pairs of the highest score."""
+    r = results(spark, d).withColumn("who", F.coalesce("professor", F.lit("")))
+    g = F.lower(F.trim("grade"))
+    hit = F.coalesce(F.col("i2_cosine_similarity") >= 0.8, F.lit(False)) | F.coalesce(F.col("i3_change_rate") <= 0.2, F.lit(False)) | F.coalesce(F.col("suspicion_score") >= 60, F.lit(False))
+    by = r.groupBy("who").agg(F.count("*").alias("pairs"), F.min(F.unix_micros("created_at")).alias("first_us"), F.max(F.unix_micros("created_at")).alias("last_us"), F.count_if(g == "critical").alias("critical"), F.count_if(g == "high").alias("high"), F.count_if(hit).alias("appendix"))
+    n = r.select("who", F.explode(F.array("source_video_id", "target_video_id")).alias("v")).groupBy("who").agg(F.countDistinct("v").alias("videos"))
+    w = Window.partitionBy("who").orderBy(F.desc_nulls_last("suspicion_score"), "id")
+    k = r.select("who", "id", "suspicion_score").withColumn("rn", F.row_number().over(w)).where("rn <= 5").groupBy("who").agg(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"].cast("string"))).alias("top"))
+    return by.join(n, "who").join(k, "who").select(F.col("who").alias("professor"), "pairs", "videos", "first_us", "last_us", "critical", "high", "appendix", "top")
 
 
-@add("pair_view_model", "SELECT id, coalesce(nullif(i5_duration_diff_seconds,0),600.0) AS duration, coalesce(lower(trim(grade)),'whole-same-week') AS pattern FROM comparison_results")
+@add("pair_view_model", f"WITH {_VID} SELECT c.id, coalesce(nullif(a.duration_seconds,0),600) AS source_duration, coalesce(nullif(b.duration_seconds,0),600) AS target_duration, coalesce(nullif(a.title,''),c.source_video_id) AS source_title, coalesce(nullif(b.title,''),c.target_video_id) AS target_title, coalesce(nullif(lower(trim(c.grade)),''),'whole-same-week') AS pattern, row_number() OVER (PARTITION BY coalesce(nullif(lower(trim(c.grade)),''),'whole-same-week'), c.course ORDER BY c.suspicion_score DESC NULLS LAST, c.id) AS place FROM comparison_results c LEFT JOIN v a ON a.video_id=c.source_video_id LEFT JOIN v b ON b.video_id=c.target_video_id")
 def pair_view_model(spark, d):
-    return results(spark, d).select("id", F.coalesce(F.nullif(F.col("i5_duration_diff_seconds"), F.lit(0.0)), F.lit(600.0)).alias("duration"), F.coalesce(F.lower(F.trim("grade")), F.lit("whole-same-week")).alias("pattern"))
+    """What a page shows of a pair: durations (600 seconds where unknown), titles, and its place among those of its pattern and course."""
+    v = unique_videos(table(spark, d, "videos")).select("video_id", "duration_seconds", "title")
+    rows = results(spark, d).select("id", "source_video_id", "target_video_id", "grade", "course", "suspicion_score")
+    for x in ("source", "target"):
+        rows = rows.join(v.withColumnsRenamed({"video_id": f"{x}_video_id", "duration_seconds": f"{x}_s", "title": f"{x}_t"}), f"{x}_video_id", "left")
+    length = lambda x: F.coalesce(F.nullif(f"{x}_s", F.lit(0).cast("long")), F.lit(600).cast("long")).alias(f"{x}_duration")
+    title = lambda x: F.coalesce(F.nullif(F.col(f"{x}_t"), F.lit("")), F.col(f"{x}_video_id")).alias(f"{x}_title")
+    pattern = F.coalesce(F.nullif(F.lower(F.trim("grade")), F.lit("")), F.lit("whole-same-week"))
+    place = F.row_number().over(Window.partitionBy(pattern, "course").orderBy(F.desc_nulls_last("suspicion_score"), "id")).cast("long")
+    return rows.select("id", length("source"), length("target"), title("source"), title("target"), pattern.alias("pattern"), place.alias("place"))
 
 
-@add("insert_comparisons", """WITH o AS (SELECT * FROM comparison_results WHERE id % 3 <> 0), n AS (SELECT * FROM comparison_results WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY source_video_id,target_video_id ORDER BY id)=1)
-SELECT id FROM o UNION ALL SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source_video_id=n.source_video_id AND o.target_video_id=n.target_video_id)""")
-def insert_comparisons(spark, d):
-    key = ["source_video_id", "target_video_id"]
-    r = results(spark, d).select("id", *key)
-    old, new = r.where("id % 3 <> 0"), latest(r.where("id % 3 = 0"), key, [-F.col("id")])
-    return old.select("id").unionByName(new.join(old.select(*key), key, "left_anti").select("id"))
+@add("span_colour", f"WITH {C._C}, {C._BASE}, {C._WHITE} SELECT segment_id, round(start,3) AS start, round({C._L},3) AS width, substring(text,1,40) AS label, CASE WHEN b.f IS NOT NULL THEN 'gray' WHEN wl.f IS NOT NULL THEN 'lightyellow' ELSE 'steelblue' END AS colour FROM x LEFT JOIN b ON b.channel_id=x.channel_id AND b.f=x.f80 LEFT JOIN wl ON wl.channel_id=x.channel_id AND wl.f=x.f80")
+def span_colour(spark, d):
+    """Bars of a timeline: begin, width, label of forty characters and the colour by what the layers said of the span."""
+    rows = C.phrased(spark, d)
+    hit = lambda known, name: known.select("channel_id", F.col("f").alias("f80"), F.lit(True).alias(name))
+    rows = rows.join(hit(C.baseline(rows), "base"), ["channel_id", "f80"], "left").join(hit(C.whitelist(rows), "white"), ["channel_id", "f80"], "left")
+    colour = F.when(F.col("base"), "gray").when(F.col("white"), "lightyellow").otherwise("steelblue")
+    return rows.select("segment_id", F.round("start", 3).alias("start"), F.round(C._len(), 3).alias("width"), F.substring("text", 1, 40).alias("label"), colour.alias("colour"))
