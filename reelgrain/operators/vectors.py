@@ -65,3 +65,17 @@ def _align(frames):
 def alignments(pairs: DataFrame) -> DataFrame:
     """id, hamming of rows with id and two arrays of unsigned 32-bit numbers a and b; null where they never overlap enough."""
     return pairs.select("id", "a", "b").mapInPandas(_align, "id long, hamming double")
+
+
+def pairs_of(rows: DataFrame, key: str, group: str, threshold: float, vector: str | None = None, seconds: str | None = None) -> DataFrame:
+    """id, links: the partners of each row in its group, by cosine of its vectors, or, with `seconds`, by a least length of both.
+
+    The kind of input decides: vectors are compared in blocks; lengths only need counting, as every long row is a partner.
+    """
+    if (vector is None) == (seconds is None):
+        raise ValueError("give either vectors or seconds")
+    if vector is not None:
+        return cosine_links(rows, key, group, vector, threshold)
+    long = rows.where(F.col(seconds) >= threshold)
+    n = long.groupBy(F.col(group).alias("_g")).agg((F.count("*") - 1).alias("links"))
+    return long.join(n, long[group].eqNullSafe(n["_g"])).select(F.col(key).alias("id"), "links")

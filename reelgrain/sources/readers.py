@@ -151,3 +151,83 @@ def read_manifest(spark: SparkSession, path: str, recovery: str | None = None) -
     more = read_parquet(spark, recovery, schemas.MANIFEST)
     key = ["video_id", "mp4_filename", "failed_stage"]
     return main.unionByName(more.join(main.select(*key), key, "left_anti"))
+
+
+def find_files(spark: SparkSession, *patterns: str) -> list[str]:
+    """The files that any of the patterns names, each once, in order."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found: set[str] = set()
+    for pattern in patterns:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        found |= {str(s.getPath().toUri().getPath()) for s in p.getFileSystem(conf).globStatus(p) or [] if s.isFile()}
+    return sorted(found)
+
+
+# Columns of an exported channel table.
+CHANNEL_COLUMNS = {"id": "채널 ID", "title": "채널 제목(원본)", "country": "채널 국가", "privacy": "채널 공개 상태"}
+
+
+def read_channel(spark: SparkSession, path: str) -> DataFrame:
+    """The one channel of an export: the first row that has an id; the country is its first two characters, empty ones are null."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if missing := {CHANNEL_COLUMNS["id"], CHANNEL_COLUMNS["title"]} - set(rows.columns):
+        raise ValueError(f"{path} lacks the columns {sorted(missing)}")
+    of = lambda k: F.trim(F.col(f"`{CHANNEL_COLUMNS[k]}`")) if CHANNEL_COLUMNS[k] in rows.columns else F.lit(None).cast("string")
+    rows = rows.select(of("id").alias("channel_id"), of("title").alias("channel_title"), F.nullif(F.substring(of("country"), 1, 2), F.lit("")).alias("country"), of("privacy").alias("privacy"))
+    return rows.where("channel_id <> ''").limit(1)
+
+
+def read_parsed_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed titles of all JSON files below a folder that hold a list; files of another shape are passed over."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    body = F.trim(F.regexp_replace("value", "^\\x{FEFF}", ""))
+    rows = raw.where(F.startswith(body, F.lit("["))).select(F.explode(F.from_json(body, f"array<struct<{_nested(schemas.PARSED_TITLE)}>>")).alias("r"))
+    return rows.select("r.*").where("video_id is not null")
+
+
+def load_search(path: str):
+    """A search from a JSON file, or a YAML file where a YAML library is there: filters, queries and exclude.title_contains."""
+    from reelgrain.operators.search import Filter, Query
+
+    text = Path(path).read_text(encoding="utf-8-sig")
+    try:
+        raw = json.loads(text)
+    except ValueError:
+        import yaml
+
+        raw = yaml.safe_load(text)
+    raw = raw or {}
+
+    def one(d: dict) -> Filter:
+        weeks = d.get("weeks") or ((d.get("week_from") or 1, d.get("week_to") or 16) if d.get("week_from") or d.get("week_to") else None)
+        return Filter(d.get("professor"), d.get("course"), d.get("year"), d.get("semester"), d.get("session"), tuple(weeks) if weeks else None)
+
+    return Query(one(raw.get("filters") or {}), tuple(one(q) for q in raw.get("queries") or []), tuple((raw.get("exclude") or {}).get("title_contains") or ()))
+
+
+#: Reports that a collection knows, and their columns of numbers.
+REPORTS = ("daily_metrics", "traffic_sources", "demographics", "geography", "devices", "playback_locations", "subscriber_changes")
+
+
+def collect_reports(read: dict, kinds: list[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The frames of the wanted reports (None: all), and what went wrong with those that failed; unknown kinds are passed over.
+
+    `read` has a function without arguments for each kind. One report's failure doesn't keep the others from being collected.
+    """
+    done, failed = {}, {}
+    for kind in kinds if kinds is not None else REPORTS:
+        if kind not in REPORTS or kind not in read:
+            continue
+        try:
+            frame = read[kind]()
+            frame.schema  # a frame that can't be analysed fails here
+            done[kind] = frame
+        except Exception as error:
+            failed[kind] = str(error).split("\n")[0]
+    return done, failed
+
+
+def retention_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a retention report (video_id, row: array of elapsed ratio, watch ratio and perhaps relative retention) as columns."""
+    at = lambda i: F.get("row", F.lit(i)).try_cast("double")
+    return rows.where(F.size("row") >= 2).select("video_id", at(0).alias("elapsed_ratio"), at(1).alias("audience_watch_ratio"), F.coalesce(at(2), F.lit(0.0)).alias("relative_retention"))

@@ -73,3 +73,39 @@ def migrated(df: DataFrame, schema_of: DataFrame, required: list[str]) -> DataFr
     if missing:
         raise ValueError(f"the columns {missing} are missing")
     return schema_of.limit(0).unionByName(df, allowMissingColumns=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON document per row, all or nothing: written beside the target, which is then replaced by a renaming."""
+    import uuid
+
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, target, old = (hadoop(f"{path.rstrip('/')}{x}") for x in (f".new-{uuid.uuid4().hex}", "", f".old-{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.json(new.toString())
+        had = fs.exists(target)
+        if had and not fs.rename(target, old):
+            raise OSError(f"{path} can't be replaced")
+        if not fs.rename(new, target):
+            if had:
+                fs.rename(old, target)
+            raise OSError(f"{path} can't be written")
+        fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
+
+
+def save_manifest(entries: DataFrame, path: str, recovery: str) -> str:
+    """Write a retry manifest, one entry per key; where the path can't be written, to the recovery path. The path written to."""
+    key = ["video_id", "mp4_filename", "failed_stage"]
+    one = entries.groupBy(*key).agg(F.max_by("reason", "attempt_count").alias("reason"), F.max("last_attempt_at").alias("last_attempt_at"), F.max("attempt_count").alias("attempt_count"))
+    for target in (path, recovery):
+        try:
+            one.write.mode("overwrite").parquet(target)
+            return target
+        except Exception:
+            if target == recovery:
+                raise
+    return recovery

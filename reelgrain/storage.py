@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: ContextVar[list[str] | None] = ContextVar("tables of the running query", default=None)
 _left: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made and set."""
+    """The folder of spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made, one per application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -27,9 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
             return context_dir.get()
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="reelgrain-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        _file_system(spark, folder)[0].deleteOnExit(_file_system(spark, folder)[1])
+        # the setting can't be changed in a running session, so the folder is remembered here
+        folder = _own.get(app := spark.sparkContext.applicationId)
+        if folder is None:
+            folder = _own[app] = tempfile.mkdtemp(prefix="reelgrain-")
+            fs, p = _file_system(spark, folder)
+            fs.deleteOnExit(p)
     return folder
 
 

@@ -21,22 +21,66 @@ def lines(*texts, step=5.0):
     return [(t, i * step, (i + 1) * step, t) for i, t in enumerate(texts)]
 
 
+def spans_of(a, b):
+    """The spans of two lists of lines (form, start, end, text), as the operator finds them from the cells at which the lines agree."""
+    cells = [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] and x[0] == y[0]]
+    found = spans.greedy_spans(*(np.array([c[k] for c in cells], np.int64) for k in (0, 1)))
+    out = [(a[p][1], a[q][2], b[r][1], b[s][2], a[q][2] - a[p][1], a[p][3][:80]) for p, q, r, s in found if a[q][2] > a[p][1] and b[s][2] > b[r][1]]
+    return sorted(out, key=lambda s: s[0])
+
+
+def stepwise(a, b):
+    """The definition, step by step: anchors in the order of a at the earliest free equal line of b, grown left, then right."""
+    used_a, used_b, out = set(), set(), []
+    for i, (form, *_) in enumerate(a):
+        j = next((j for j, y in enumerate(b) if form and y[0] == form and j not in used_b), None) if i not in used_a else None
+        if j is None:
+            continue
+        run = [(i, j)]
+        for step in (-1, 1):
+            x, y = i + step, j + step
+            while 0 <= x < len(a) and 0 <= y < len(b) and x not in used_a and y not in used_b and a[x][0] and a[x][0] == b[y][0]:
+                run.append((x, y))
+                x, y = x + step, y + step
+        used_a |= {x for x, _ in run}
+        used_b |= {y for _, y in run}
+        (p, r), (q, s) = min(run), max(run)
+        if a[q][2] > a[p][1] and b[s][2] > b[r][1]:
+            out.append((a[p][1], a[q][2], b[r][1], b[s][2], a[q][2] - a[p][1], a[p][3][:80]))
+    return sorted(out, key=lambda s: s[0])
+
+
 def test_spans():
-    assert [s[:5] for s in spans.greedy_spans(lines("alpha", "beta", "gamma"), lines("alpha", "beta", "gamma"))] == [(0, 15, 0, 15, 15)]
-    assert [s[4] for s in spans.greedy_spans(lines("same", "x", step=2.0), lines("same", "y", step=2.0))] == [2]
-    swapped = spans.greedy_spans(lines("a", "b", "c", "d"), lines("c", "d", "a", "b"))
+    assert [s[:5] for s in spans_of(lines("alpha", "beta", "gamma"), lines("alpha", "beta", "gamma"))] == [(0, 15, 0, 15, 15)]
+    assert [s[4] for s in spans_of(lines("same", "x", step=2.0), lines("same", "y", step=2.0))] == [2]
+    swapped = spans_of(lines("a", "b", "c", "d"), lines("c", "d", "a", "b"))
     assert [(s[0], s[2]) for s in swapped] == [(0, 10), (10, 0)]
-    assert [s[4] for s in spans.greedy_spans(lines(*["shared"] * 3), lines(*["shared"] * 3))] == [15]
-    assert spans.greedy_spans([], lines("a")) == [] and spans.greedy_spans(lines(""), lines("")) == []
+    assert [s[4] for s in spans_of(lines(*["shared"] * 3), lines(*["shared"] * 3))] == [15]
+    assert spans_of([], lines("a")) == [] and spans_of(lines(""), lines("")) == []
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_spans_use_lines_once(seed):
+@pytest.mark.parametrize("seed", range(40))
+def test_spans_are_those_of_the_definition(seed):
     rnd = random.Random(seed)
-    a, b = (lines(*[rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]) for _ in range(2))
-    found = spans.greedy_spans(a, b)
+    a, b = (lines(*[rnd.choice(["a", "b", "c", "d", ""]) for _ in range(rnd.randint(0, 25))]) for _ in range(2))
+    found = spans_of(a, b)
     used = [t for s in found for t in range(int(s[0]), int(s[1]), 5)]
-    assert len(used) == len(set(used)) and found == sorted(found, key=lambda s: s[0])
+    assert len(used) == len(set(used)) and found == stepwise(a, b)
+
+
+def test_spans_of_pairs(spark):
+    rows = [("v", i, t, i * 5.0, i * 5.0 + 5, t.upper()) for i, t in enumerate(["a", "b", "", "c"])] + [("w", i, t, i * 5.0, i * 5.0 + 5, t) for i, t in enumerate(["c", "a", "b"])] + [("u", 0, "a", 0.0, 0.0, "a")]
+    text = spark.createDataFrame(rows, "video_id string, line int, form string, start double, `end` double, text string")
+    pairs = spark.createDataFrame([(1, "v", "w"), (2, "v", "u"), (3, "x", "v")], "pair_id long, source string, target string")
+    found = spans.match_spans(pairs, text)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 10, 5, 15, 10, "A"), (1, 15, 20, 0, 5, 5, "C")]
+    lengths = spark.createDataFrame([(1, 20.0, 15.0), (2, 20.0, 0.0)], "pair_id long, dur_a double, dur_b double")
+    axis = {r.pair_id: r for r in spans.pair_indicators(lengths, found).collect()}
+    one = axis[1]
+    assert (one.longest, one.deviation, one.thirds) == (10, 2.5, 0.5) and one.bins == pytest.approx((2 + 2) / 20)
+    # the middles of the second half aren't moved: on side a they fall into its last bin
+    assert one.first_half == pytest.approx(0.1) and one.second_half == pytest.approx((1 + 1) / 20)
+    assert axis[2].longest == 0 and axis[2].bins == 0
 
 
 def test_scores(spark):
@@ -61,7 +105,7 @@ def test_scores(spark):
 
 def test_text(spark):
     phrase = lambda s: one(spark, T.phrase(F.col("s")), s=s)
-    assert phrase("ＡＢＣ") == "abc" and phrase("안녕   하세요「박」。") == "안녕 하세요 박" and phrase("") == "" and phrase(phrase("A.b  C")) == phrase("A.b  C")
+    assert phrase("〈a〉｢b｣『c』_d\u2019") == "a b c _d’" and phrase("ＡＢＣ") == "abc" and phrase("안녕   하세요「박」。") == "안녕 하세요 박" and phrase("") == "" and phrase(phrase("A.b  C")) == phrase("A.b  C")
     rate = T.change_rate(T.words(F.col("a")), T.words(F.col("b")))
     for a, b, want in (("x y", "y x", 0), ("a", "b", 1), ("", "b", 1), ("", "", 0)):
         assert one(spark, rate, a=a, b=b) == want
@@ -199,3 +243,120 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(f"2024-01-0{i % 3 + 1} 10:00:00", "ab"[i % 2]) for i in range(20)], "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(f"{tmp_path}/events")
     assert sorted(map(tuple, daily_counts_stream(spark, f"{tmp_path}/events").collect())) == sorted(map(tuple, daily_counts(df).collect()))
+
+
+def test_page_bodies(spark):
+    page = "<html><head><p>x</p></head><BODY class=a><!-- c --><P id='k' hidden>1 &amp; 2<br/>3</P></body><p>after</p></html>"
+    assert T.body_of(page) == '<p id="k" hidden>1 & 2<br></br>3</p>' and T.body_of("<p>none</p>") == "" and T.body_of("") == ""
+    assert one(spark, T.html_body(F.col("p")), p="<body>a</body>") == "a"
+
+
+def test_whitelists_and_memberships(spark):
+    from reelgrain.operators import governance as G
+
+    key = "professor_id string, alias string"
+    members = spark.createDataFrame([("p1", "a"), ("p2", "b")], key)
+    asked = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("p3", "c"), ("p4", "c"), ("p3", "c")], key)
+    assert sorted(map(tuple, G.map_professors(members, asked).collect())) == [("p1", "a", "there"), ("p1", "b", "conflict"), ("p3", "c", "added"), ("p4", "c", "conflict")]
+    assert sorted(map(tuple, G.remove(members, asked, ["professor_id", "alias"]).collect())) == [("p2", "b")]
+    states = G.add_unique(members, spark.createDataFrame([("p1", "a"), ("p9", None), ("p9", None)], key), ["professor_id", "alias"])
+    assert sorted((r.professor_id, r.state) for r in states.collect()) == [("p1", "duplicate"), ("p9", "added")]
+    pairs = spark.createDataFrame([(1, "PENDING", None, None), (2, "FALSE_POSITIVE", "x", None)], "id long, review_status string, reviewed_by string, reviewed_at timestamp")
+    white = G.whitelist_pairs(pairs, spark.createDataFrame([(1, "me", None)], "id long, actor string, at timestamp"))
+    assert sorted((r.id, r.review_status, r.reviewed_by) for r in white.collect()) == [(1, "FALSE_POSITIVE", "me"), (2, "FALSE_POSITIVE", "x")]
+    assert sorted((r.id, r.review_status, r.reviewed_by) for r in G.reset_pairs(white, pairs.select("id")).collect()) == [(1, "UNREVIEWED", None), (2, "UNREVIEWED", None)]
+    assert [r.id for r in G.missing_keys(pairs, spark.createDataFrame([(7,), (1,)], "id long"), ["id"]).collect()] == [7]
+
+
+def test_stored_transcripts_are_normalised_once(spark):
+    rows = [("a", [(0.0, 1.0, "Hello, [x] WORLD!"), (1.0, 2.0, None)], 0), ("b", [(0.0, 1.0, "Kept!")], spans.TEXT_VERSION), ("c", [], None)]
+    df = spark.createDataFrame(rows, "video_id string, segments array<struct<start:double,`end`:double,text:string>>, version int")
+    got = {r.video_id: r for r in spans.normalised_transcripts(df).collect()}
+    assert [s.text for s in got["a"].segments] == ["hello world", None] and got["b"].segments[0].text == "Kept!" and got["c"].segments == []
+    assert {k: r.skipped for k, r in got.items()} == {"a": False, "b": True, "c": False} and {r.version for r in got.values()} == {spans.TEXT_VERSION}
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "t" / "deep").mkdir(parents=True)
+    (tmp_path / "t" / "deep" / "a.json").write_text('\ufeff[{"video_id": "v", "professor": ["p"], "week": 3}]', encoding="utf-8")
+    (tmp_path / "t" / "b.json").write_text('{"video_id": "x"}')
+    assert [(r.video_id, r.professor, r.week) for r in readers.read_parsed_titles(spark, str(tmp_path / "t")).collect()] == [("v", ["p"], 3)]
+    (tmp_path / "s.json").write_text('{"filters": {"course": "c", "week_from": 2}, "queries": [{"year": 2022}], "exclude": {"title_contains": ["OT"]}}')
+    assert readers.load_search(str(tmp_path / "s.json")) == Q.Query(Q.Filter(course="c", weeks=(2, 16)), (Q.Filter(year=2022),), ("OT",))
+    (tmp_path / "ch.csv").write_text("채널 ID,채널 제목(원본),채널 국가\nUC1,Name,KOR\nUC2,Other,US\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_channel(spark, str(tmp_path / "ch.csv")).collect()] == [("UC1", "Name", "KO", None)]
+    assert readers.find_files(spark, str(tmp_path / "*.csv"), str(tmp_path / "ch*"), str(tmp_path / "none*")) == [str(tmp_path / "ch.csv")]
+    done, failed = readers.collect_reports({"geography": lambda: spark.range(1), "devices": lambda: spark.sql("select nope"), "unheard": lambda: 1})
+    assert list(done) == ["geography"] and list(failed) == ["devices"]
+    points = spark.createDataFrame([("v", ["0.5", "1.2"]), ("v", ["0.6", "x", "0.3"]), ("v", ["1"])], "video_id string, row array<string>")
+    assert sorted(map(tuple, readers.retention_rows(points).collect()), key=str) == [("v", 0.5, 1.2, 0.0), ("v", 0.6, None, 0.3)]
+    writers.write_json(spark.range(2), str(tmp_path / "j"))
+    writers.write_json(spark.range(3), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3 and sorted(p.name for p in tmp_path.glob("j*")) == ["j"]
+    entries = spark.createDataFrame([("v", "f", "s", "old", "1", 1), ("v", "f", "s", "new", "2", 2)], schemas.MANIFEST)
+    (tmp_path / "file").write_text("x")
+    assert writers.save_manifest(entries, str(tmp_path / "m"), str(tmp_path / "r")).endswith("m")
+    assert writers.save_manifest(entries, str(tmp_path / "file" / "m"), str(tmp_path / "r")).endswith("r")
+    assert [(r.reason, r.attempt_count) for r in readers.read_manifest(spark, str(tmp_path / "m")).collect()] == [("new", 2)]
+
+
+def test_pairs_by_kind_of_input(spark):
+    rows = spark.createDataFrame([(1, "g", [1.0, 0.0], 50), (2, "g", [1.0, 0.1], 70), (3, "g", [0.0, 1.0], 80)], "id long, g string, v array<double>, s int")
+    assert sorted(map(tuple, vectors.pairs_of(rows, "id", "g", 60, seconds="s").collect())) == [(2, 1), (3, 1)]
+    assert {r.id: r.links for r in vectors.pairs_of(rows, "id", "g", 0.9, vector="v").collect()} == {1: 1, 2: 1, 3: 0}
+    with pytest.raises(ValueError):
+        vectors.pairs_of(rows, "id", "g", 0.9)
+
+
+def test_ranks_in_parts_are_ranks(spark):
+    from reelgrain.plans.q_reports import ranked
+
+    rnd = random.Random(9)
+    rows = [(f"k{i:03}", rnd.choice(["g", "h", None]), rnd.choice([None, *range(30)])) for i in range(300)]
+    got = {r.k: r.place for r in ranked(spark.createDataFrame(rows, "k string, g string, n int"), "g", ["n", "k"], size=8).collect()}
+    want = {}
+    for g in ("g", "h", None):
+        for p, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0])), 1):
+            want[r[0]] = p
+    assert got == want
+
+
+def test_tables_of_a_query_are_deleted(spark, tmp_path, monkeypatch):
+    import os
+
+    from reelgrain import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda s: str(tmp_path))
+    storage.release(spark)
+
+    @storage.scoped
+    def query(s, d):
+        a = storage.materialize(s.range(5))
+        b = storage.materialize(a.selectExpr("id + 1 AS id"))
+        storage.drop(storage.materialize(b))
+        return b.where("id > 2")
+
+    rows = query(spark, "")
+    assert len(os.listdir(tmp_path)) == 1 and sorted(r.id for r in rows.collect()) == [3, 4, 5]
+    storage.release(spark)
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_folder_of_its_own_where_none_is_set(spark, monkeypatch):
+    from reelgrain import storage
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master, applicationId, _jvm = "local[1]", "app-of-this-test", spark.sparkContext._jvm
+
+            class _jsc:
+                hadoopConfiguration = staticmethod(lambda: spark.sparkContext._jsc.hadoopConfiguration())
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    assert storage.shared_folder(Bare) == storage.shared_folder(Bare) and "reelgrain-" in storage.shared_folder(Bare)
+    Bare.sparkContext.master = "yarn"
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Bare)
