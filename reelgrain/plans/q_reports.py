@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgrain.functions import text as T
 from reelgrain.operators import titles as titles_op
+from reelgrain.operators.facts import ranked
 from reelgrain.plans import inputs as I
 from reelgrain.plans.inputs import facts, joined, owned, videos
 from reelgrain.plans.registry import Registry
@@ -76,7 +77,9 @@ SELECT video_id, w AS week, s AS session, row_number() OVER (PARTITION BY substr
 def course_sort(spark, d):
     part = lambda i: F.coalesce(F.regexp_extract(F.coalesce("title", F.lit("")), r"([0-9]+)[ \t\n\r\f]*주차[ \t\n\r\f]*([0-9]+)[ \t\n\r\f]*차시", i).try_cast("int"), F.lit(9999))
     rows = videos(spark, d).select("video_id", F.substring(F.coalesce("title", F.lit("")), 1, 2).alias("k"), part(1).alias("week"), part(2).alias("session"))
-    return rows.select("video_id", "week", "session", F.row_number().over(Window.partitionBy("k").orderBy("week", "session", "video_id")).cast("long").alias("place"))
+    # weeks and sessions in one number, the greatest of which comes first
+    rows = rows.withColumn("order", -(F.col("week").cast("long") * 1_000_000_000 + F.col("session")))
+    return ranked(rows, "k", ["order", "video_id"]).select("video_id", "week", "session", "place")
 
 
 @add("list_sorted", "WITH v AS (SELECT DISTINCT video_id, channel_id, like_count FROM videos) SELECT video_id, place FROM (SELECT video_id, row_number() OVER (PARTITION BY channel_id ORDER BY like_count DESC NULLS LAST, video_id) AS place FROM v) WHERE place <= 20")
@@ -173,25 +176,6 @@ def heat_encode(spark, d):
 # rankings and suggestions ----------------------------------------------------------------------------------------------
 
 
-def ranked(rows: DataFrame, group: str, by: list, size: int = 64) -> DataFrame:
-    """rows with `place`, their rank in the group by the total order `by` (columns, of which the first descends).
-
-    The group is cut at quantiles of the first column, each part is ranked by itself and moved by the sizes of the parts
-    before it, so that no task sorts a whole hot group.
-    """
-    first = by[0]
-    cuts = rows.groupBy(group).agg(F.percentile_approx(first, [i / size for i in range(1, size)], 10_000).alias("cuts"))
-    rows = rows.join(cuts, rows[group].eqNullSafe(cuts[group]), "left").drop(cuts[group])
-    part = F.when(F.col(first).isNull(), size + 1).otherwise(F.coalesce(size - F.size(F.filter("cuts", lambda x: x < F.col(first))), F.lit(0)))
-    rows = rows.withColumn("_part", part).drop("cuts")
-    sizes = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_before", before).select(F.col(group).alias("_g"), F.col("_part").alias("_q"), "_before")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_part").orderBy(F.desc_nulls_last(first), *by[1:])))
-    rows = rows.join(sizes, rows[group].eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_q")))
-    return rows.withColumn("place", (F.col("_before") + F.col("_r")).cast("long")).drop("_part", "_r", "_g", "_q", "_before")
-
-
 @add("rankings", "WITH v AS (SELECT DISTINCT video_id, channel_id, view_count, like_count, comment_count FROM videos) SELECT video_id, row_number() OVER (PARTITION BY channel_id ORDER BY view_count DESC NULLS LAST, video_id) AS by_views, row_number() OVER (PARTITION BY channel_id ORDER BY round((like_count+comment_count)*1.0e0/nullif(view_count,0),4) DESC NULLS LAST, video_id) AS by_engagement FROM v")
 def rankings(spark, d):
     rate = F.round(F.try_divide((F.col("like_count") + F.col("comment_count")).cast("double"), F.col("view_count").cast("double")), 4)

@@ -9,7 +9,7 @@ from reelgrain.functions import scoring as S
 from reelgrain.functions import text as T
 from reelgrain.operators import governance as G
 from reelgrain.operators import lifecycle as L
-from reelgrain.operators.facts import canonical, latest, merge, unique_videos
+from reelgrain.operators.facts import canonical, latest, merge, ranked, unique_videos
 from reelgrain.plans import inputs as I
 from reelgrain.plans import q_captions as C
 from reelgrain.plans.registry import Registry
@@ -163,8 +163,7 @@ def pattern_filter(spark, d):
 @add("comparison_list", "SELECT id, row_number() OVER (PARTITION BY course ORDER BY suspicion_score DESC NULLS LAST, id) AS place FROM comparison_results WHERE review_status IS NOT NULL AND lower(trim(grade)) = 'high'")
 def comparison_list(spark, d):
     rows = results(spark, d).where(F.col("review_status").isNotNull() & (F.lower(F.trim("grade")) == "high"))
-    w = Window.partitionBy("course").orderBy(F.desc_nulls_last("suspicion_score"), "id")
-    return rows.select("id", F.row_number().over(w).cast("long").alias("place"))
+    return ranked(rows.select("id", "course", "suspicion_score"), "course", ["suspicion_score", "id"]).select("id", "place")
 
 
 @add("status_list", "SELECT review_status, count(*) AS n, min(id) AS first_id FROM comparison_results WHERE review_status IS NOT NULL GROUP BY 1")
@@ -439,8 +438,8 @@ def pair_view_model(spark, d):
     length = lambda x: F.coalesce(F.nullif(f"{x}_s", F.lit(0).cast("long")), F.lit(600).cast("long")).alias(f"{x}_duration")
     title = lambda x: F.coalesce(F.nullif(F.col(f"{x}_t"), F.lit("")), F.col(f"{x}_video_id")).alias(f"{x}_title")
     pattern = F.coalesce(F.nullif(F.lower(F.trim("grade")), F.lit("")), F.lit("whole-same-week"))
-    place = F.row_number().over(Window.partitionBy(pattern, "course").orderBy(F.desc_nulls_last("suspicion_score"), "id")).cast("long")
-    return rows.select("id", length("source"), length("target"), title("source"), title("target"), pattern.alias("pattern"), place.alias("place"))
+    rows = rows.select("id", length("source"), length("target"), title("source"), title("target"), pattern.alias("pattern"), F.to_json(F.struct(pattern.alias("p"), "course")).alias("own"), "suspicion_score")
+    return ranked(rows, "own", ["suspicion_score", "id"]).drop("own", "suspicion_score")
 
 
 @add("span_colour", f"WITH {C._C}, {C._BASE}, {C._WHITE} SELECT segment_id, round(start,3) AS start, round({C._L},3) AS width, substring(text,1,40) AS label, CASE WHEN b.f IS NOT NULL THEN 'gray' WHEN wl.f IS NOT NULL THEN 'lightyellow' ELSE 'steelblue' END AS colour FROM x LEFT JOIN b ON b.channel_id=x.channel_id AND b.f=x.f80 LEFT JOIN wl ON wl.channel_id=x.channel_id AND wl.f=x.f80")

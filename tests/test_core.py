@@ -309,7 +309,7 @@ def test_pairs_by_kind_of_input(spark):
 
 
 def test_ranks_in_parts_are_ranks(spark):
-    from reelgrain.plans.q_reports import ranked
+    from reelgrain.operators.facts import ranked
 
     rnd = random.Random(9)
     rows = [(f"k{i:03}", rnd.choice(["g", "h", None]), rnd.choice([None, *range(30)])) for i in range(300)]
